@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pst
+from . import decontaminate, fairqueue, pst
 from .shared import table
 
 
@@ -14,8 +14,21 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(table(spark, sf_dir, "documents"))
 
 
+def op8_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fairqueue.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op8_fair_queue": op8_fair_queue,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_fair_queue": fairqueue.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
