@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fairqueue, pst
+from . import decontaminate, fairqueue, pst, webp
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(table(spark, sf_dir, "documents"))
 
 
+def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_column(table(spark, sf_dir, "documents"))
+
+
 def op8_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairqueue.mix(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op2_webp": op2_webp,
     "op8_fair_queue": op8_fair_queue,
     "op9_decontaminate": op9_decontaminate,
 }
