@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fairqueue, pst, webp
+from . import decontaminate, fairqueue, forest, pst, tagpaths, webp
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_column(table(spark, sf_dir, "documents"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.report(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op8_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairqueue.mix(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_webp": op2_webp,
+    "op3_lsh_forest": op3_lsh_forest,
     "op8_fair_queue": op8_fair_queue,
     "op9_decontaminate": op9_decontaminate,
+    "op10_tag_paths": op10_tag_paths,
 }
 
 ORACLES: dict[str, str] = {
