@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fairqueue, forest, pst, tagpaths, webp
+from . import decontaminate, fairqueue, forest, pst, secretscan, tagpaths, webp
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.report(table(spark, sf_dir, "documents"), 3, 85)
 
 
+def op4_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.report(table(spark, sf_dir, "documents"))
+
+
 def op8_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairqueue.mix(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_webp": op2_webp,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_secret_network": op4_secret_network,
     "op8_fair_queue": op8_fair_queue,
     "op9_decontaminate": op9_decontaminate,
     "op10_tag_paths": op10_tag_paths,
