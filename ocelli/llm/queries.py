@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fairqueue, forest, pst, secretscan, tagpaths, webp
+from . import decontaminate, fairqueue, forest, pst, secretscan, sitequality, tagpaths, tokencounts, toxicity, webp
 from .shared import table
 
 
@@ -26,6 +26,18 @@ def op4_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(table(spark, sf_dir, "documents"), rule="most", kind="sentences")
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitequality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairqueue.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_webp": op2_webp,
     "op3_lsh_forest": op3_lsh_forest,
     "op4_secret_network": op4_secret_network,
+    "op5_token_counts": op5_token_counts,
+    "op6_toxicity_chain": op6_toxicity_chain,
+    "op7_site_quality": op7_site_quality,
     "op8_fair_queue": op8_fair_queue,
     "op9_decontaminate": op9_decontaminate,
     "op10_tag_paths": op10_tag_paths,
