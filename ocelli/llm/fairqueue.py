@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import parts, written
+from .shared import keyed, parts, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,7 +72,7 @@ def shuffle_key(id_col: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``docs``; with ``keep`` its columns and ``taken`` instead."""
+    """``doc_id, size, source_size, target, taken`` for each row of ``docs``; with ``keep`` the columns of ``docs`` and ``taken`` for rows that are taken."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rid = F.monotonically_increasing_id()
@@ -107,8 +107,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         taken = taken + F.when(F.col("size") == 0, 0).when(at < last, F.col("size")).when(at == last, F.lit(int(cut[5]))).otherwise(0)
     done = packets.withColumn("taken", taken.cast("long"))
     if keep:
-        whole = docs.withColumn("rid", F.monotonically_increasing_id())
-        return whole.join(done.select("rid", "taken"), "rid").drop("rid")
+        whole, name = keyed(docs)
+        amount = "taken" if "taken" not in {c.lower() for c in docs.columns} else "taken_words"
+        rows = done.filter("taken > 0").select(F.col("rid").alias(name), F.col("taken").alias(amount))
+        return whole.join(rows, name).select(*[F.col(f"`{c}`") for c in docs.columns], amount)
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
