@@ -158,7 +158,8 @@ class Model:
     def __init__(self, rows: Rows, y: np.ndarray, use: np.ndarray, extra: np.ndarray, ridge: float = 1.0) -> None:
         self.hashes = self._select(rows, y, use)
         figures = np.concatenate((rows.dense, extra), 1)
-        self.mean, self.scale = figures[use].mean(0), figures[use].std(0) + 1e-6
+        own = figures[use] if use.any() else np.zeros((1, figures.shape[1]))
+        self.mean, self.scale = own.mean(0), own.std(0) + 1e-6
         x = np.concatenate((self._hits(rows), (figures - self.mean) / self.scale), 1).astype(np.float32)
         self.weights = newton(x[use], y[use], ridge) if 0 < y[use].sum() < use.sum() else self._constant(x.shape[1], y[use])
         self.fitted = sigmoid(np.concatenate((x, np.ones((len(x), 1))), 1) @ self.weights)
