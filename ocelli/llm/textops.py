@@ -117,21 +117,27 @@ def words(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hash_spans(seq, starts, ends), doc, per_doc
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(21, int(n).bit_length())
-        base = int(_MULT)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, np.uint64(b), np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, made when first asked for and never shipped with a function."""
+
+    def __init__(self) -> None:
+        self.pair: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64),) * 2
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, ...]:
+        if len(self.pair[0]) < n:
+            size = 1 << max(21, int(n).bit_length())
+            base = int(_MULT)
+            runs = [np.full(size, np.uint64(b), np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            for a in runs:
+                a[0] = 1
+            self.pair = tuple(np.multiply.accumulate(a) for a in runs)
+        return self.pair
+
+
+_powers = _Powers()
 
 
 def hash_spans(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
