@@ -7,7 +7,7 @@ order rows for review, they never grant trust.  A row's metadata is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import media as M
@@ -138,116 +138,138 @@ def _points(condition: Column, points) -> Column:
     return F.when(condition, points)
 
 
-def source_evidence(url: Column, title: Column, snippet: Column, provider: Column, content_type: Column, http_status: Column, needs_login: Column, blocked: Column) -> Column:
-    """Struct of ``score, band, reasons, camera_terms, protocol_label, signatures, why`` of a source row."""
+def with_source_evidence(df: DataFrame, url: Column, title: Column, snippet: Column, provider: Column, content_type: Column, http_status: Column, needs_login: Column, blocked: Column, out: str = "evidence") -> DataFrame:
+    """Adds a struct of ``score, band, reasons, camera_terms, protocol_label, signatures, why`` to source rows."""
     low = F.lower(F.concat_ws(" ", text(url), text(title), text(snippet)))
-    kind = F.lower(text(content_type))
-    found = signatures(haystack(url, title, snippet, content_type))
-    proto = protocol(url, content_type)
-    terms = present(*[(low.contains(t), t) for t in CAMERA_WORDS])
-    stopped, has_url = blocked.isNotNull(), text(url) != ""
-    structured = any_term(low, STRUCTURED_WORDS) | any_term(kind, STRUCTURED_WORDS)
-    direct = proto["protocol_label"].isin("hls", "rtsp", "mjpeg", "image_snapshot", "dash", "webrtc", "rtmp", "srt")
-    configured, promoted = text(provider).isin("directory", "direct"), text(provider) == "asset_host_promotion"
-    reached, login = F.coalesce((http_status != 0) & (http_status < 400), F.lit(False)), F.coalesce(needs_login, F.lit(False))
+    first = df.withColumns(
+        {
+            "_s_low": low,
+            "_s_kind": F.lower(text(content_type)),
+            "_s_found": signatures(haystack(url, title, snippet, content_type)),
+            "_s_label": protocol(url, content_type)["protocol_label"],
+            "_s_stopped": blocked.isNotNull(),
+            "_s_url": text(url) != "",
+            "_s_provider": text(provider),
+            "_s_reached": F.coalesce((http_status != 0) & (http_status < 400), F.lit(False)),
+            "_s_login": F.coalesce(needs_login, F.lit(False)),
+        }
+    )
+    s = lambda k: F.col(f"_s_{k}")
+    second = first.withColumns(
+        {
+            "_s_terms": present(*[(s("low").contains(t), t) for t in CAMERA_WORDS]),
+            "_s_structured": any_term(s("low"), STRUCTURED_WORDS) | any_term(s("kind"), STRUCTURED_WORDS),
+            "_s_direct": s("label").isin("hls", "rtsp", "mjpeg", "image_snapshot", "dash", "webrtc", "rtmp", "srt"),
+        }
+    )
+    terms, configured, promoted = F.size(s("terms")), s("provider").isin("directory", "direct"), s("provider") == "asset_host_promotion"
     score = _sum(
-        F.when(stopped, -30).when(has_url, 10),
-        _points(F.size(terms) > 0, F.least(F.lit(20), 8 + 3 * F.size(terms))),
-        _points(structured, 15),
-        _points(direct, 20),
-        F.least(F.lit(20), signature_weight(found)),
-        _points(configured, 8),
-        _points(promoted, 8),
-        _points(reached, 5),
-        _points(login, -20),
+        F.when(s("stopped"), -30).when(s("url"), 10),
+        _points(terms > 0, F.least(F.lit(20), 8 + 3 * terms)),
+        _points(s("structured"), 15),
+        _points(s("direct"), 20),
+        F.least(F.lit(20), signature_weight(s("found"))),
+        _points(configured | promoted, 8),
+        _points(s("reached"), 5),
+        _points(s("login"), -20),
     )
     reasons = present(
-        (stopped, "blocked source policy match"),
-        (~stopped & has_url, "source URL passed blocked-source policy check"),
-        (F.size(terms) > 0, "source title/snippet/URL contains camera or live-media terms"),
-        (structured, "source has structured camera endpoint hints"),
-        (direct, "source URL/content has direct media protocol evidence"),
-        (F.size(found) > 0, "source matched safe passive camera/media signatures"),
+        (s("stopped"), "blocked source policy match"),
+        (~s("stopped") & s("url"), "source URL passed blocked-source policy check"),
+        (terms > 0, "source title/snippet/URL contains camera or live-media terms"),
+        (s("structured"), "source has structured camera endpoint hints"),
+        (s("direct"), "source URL/content has direct media protocol evidence"),
+        (F.size(s("found")) > 0, "source matched safe passive camera/media signatures"),
         (configured, "source came from configured directory/direct source"),
         (promoted, "source came from repeated camera asset-host promotion"),
-        (reached, "source HTTP fetch returned a reachable status"),
-        (login, "source advertised authentication requirement"),
-    )
-    return F.struct(
-        score.alias("score"),
-        band(score).alias("band"),
-        reasons.alias("reasons"),
-        F.slice(terms, 1, 8).alias("camera_terms"),
-        proto["protocol_label"].alias("protocol_label"),
-        F.slice(found, 1, 12).alias("signatures"),
-        why(reasons, "Source").alias("why"),
+        (s("reached"), "source HTTP fetch returned a reachable status"),
+        (s("login"), "source advertised authentication requirement"),
     )
+    done = second.withColumns({"_s_score": score, "_s_reasons": reasons})
+    result = F.struct(s("score").alias("score"), band(s("score")).alias("band"), s("reasons").alias("reasons"), F.slice(s("terms"), 1, 8).alias("camera_terms"), s("label").alias("protocol_label"), F.slice(s("found"), 1, 12).alias("signatures"), why(s("reasons"), "Source").alias("why"))
+    return done.withColumn(out, result).select(*df.columns, out)
 
 
-def candidate_evidence(c=F.col, blocked: Column | None = None) -> Column:
-    """Struct of ``score, band, reasons, protocol, signatures, why`` of a candidate row.
+def with_candidate_evidence(df: DataFrame, blocked: Column | None = None, out: str = "evidence") -> DataFrame:
+    """Adds a struct of ``score, band, reasons, protocol, signatures, why`` to candidate rows.
 
-    ``c`` gives its columns: stream_url, source_url, title, location_text, lat,
-    lon, scope_status, validation_status, metadata.
+    Needs their columns stream_url, source_url, title, location_text, lat, lon,
+    scope_status, validation_status, metadata.  Texts, then protocol and
+    signatures, then flags are projections of their own, so that no expression
+    is written out more than once in the plan.
     """
-    meta = F.coalesce(c("metadata"), F.create_map().cast("map<string,string>"))
+    meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     of = lambda k: text(F.try_element_at(meta, F.lit(k)))
-    given = lambda k: ~of(k).isin("", "[]", "{}")
-    blocked = blocked if blocked is not None else F.lit(None).cast("string")
-    url = F.when(text(c("stream_url")) != "", text(c("stream_url"))).otherwise(of("media_url"))
-    title = F.coalesce(F.nullif(text(c("title")), F.lit("")), F.nullif(of("camera_name"), F.lit("")), of("source_name"))
-    place = F.coalesce(F.nullif(text(c("location_text")), F.lit("")), F.nullif(of("location_display"), F.lit("")), of("location_text"))
+    given = lambda k: (~of(k).isin("", "[]", "{}")).cast("int")
+    first = lambda *cs: F.coalesce(*[F.nullif(text(c), F.lit("")) for c in cs])
     http = F.when(of("http_metadata").startswith("{"), of("http_metadata"))
-    content = F.coalesce(F.get_json_object(http, "$.content_type"), F.try_element_at(meta, F.lit("content_type")))
-    proto = protocol(url, content, of("media_type"))
-    found = signatures(haystack(url, text(c("source_url")), title, place, metadata=meta))
-    label = proto["protocol_label"]
+    texts = df.withColumns(
+        {
+            "_e_url": first(F.col("stream_url"), of("media_url")),
+            "_e_title": first(F.col("title"), of("camera_name"), of("source_name")),
+            "_e_place": first(F.col("location_text"), of("location_display"), of("location_text")),
+            "_e_http": http,
+            "_e_blocked": blocked if blocked is not None else F.lit(None).cast("string"),
+            "_e_scope": F.lower(text(F.col("scope_status"))),
+            "_e_status": F.lower(text(first(F.col("validation_status"), of("validation_status")))),
+            "_e_structured": sum((given(k) for k in STRUCTURED_KEYS), F.lit(0)),
+            "_e_identity": sum((given(k) for k in IDENTITY_KEYS), F.lit(0)),
+            "_e_inherited": first(of("source_camera_evidence_score"), of("source_evidence_score")).try_cast("int"),
+        }
+    )
+    content = F.coalesce(F.get_json_object("_e_http", "$.content_type"), F.try_element_at(meta, F.lit("content_type")))
+    code = F.get_json_object("_e_http", "$.http_status").try_cast("int")
+    found = texts.withColumns(
+        {
+            "_e_protocol": protocol(F.col("_e_url"), content, of("media_type")),
+            "_e_found": signatures(haystack(F.col("_e_url"), text(F.col("source_url")), F.col("_e_title"), F.col("_e_place"), metadata=meta)),
+            "_e_live": F.col("_e_status").isin(*LIVE),
+            "_e_closed": ~F.col("_e_status").isin(*LIVE) & any_term(F.col("_e_status"), RESTRICTED_PARTS),
+            "_e_gone": ~F.col("_e_status").isin(*LIVE) & any_term(F.col("_e_status"), DEAD_PARTS),
+            "_e_login": F.coalesce(F.get_json_object("_e_http", "$.www_authenticate_present") == "true", F.lit(False)),
+            "_e_reached": F.coalesce((code != 0) & (code < 400), F.lit(False)),
+        }
+    )
+    e = lambda k: F.col(f"_e_{k}")
+    label = F.col("_e_protocol.protocol_label")
     direct, weaker = label.isin("hls", "rtsp", "mjpeg", "image_snapshot"), label.isin("dash", "webrtc", "rtmp", "srt", "mp4")
-    said = F.concat(F.lit("direct "), label, F.lit(" media evidence"))
-    structured = sum((given(k).cast("int") for k in STRUCTURED_KEYS), F.lit(0))
-    identity = sum((given(k).cast("int") for k in IDENTITY_KEYS), F.lit(0))
-    located = c("lat").isNotNull() & c("lon").isNotNull()
-    inherited = F.coalesce(F.nullif(of("source_camera_evidence_score"), F.lit("")), of("source_evidence_score")).try_cast("int")
-    scope, status = F.lower(text(c("scope_status"))), F.lower(F.coalesce(F.nullif(text(c("validation_status")), F.lit("")), of("validation_status")))
-    live = status.isin(*LIVE)
-    closed = ~live & any_term(status, RESTRICTED_PARTS)
-    dead = ~live & ~closed & any_term(status, DEAD_PARTS)
-    idle = ~live & ~closed & ~dead & status.isin("not_validated", "validation_disabled", "rtsp_validation_unavailable")
-    login = F.coalesce(F.get_json_object(http, "$.www_authenticate_present") == "true", F.lit(False))
-    code = F.get_json_object(http, "$.http_status").try_cast("int")
-    reached = F.coalesce((code != 0) & (code < 400), F.lit(False))
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    dead = e("gone") & ~e("closed")
+    idle = ~e("live") & ~e("closed") & ~dead & e("status").isin("not_validated", "validation_disabled", "rtsp_validation_unavailable")
     score = _sum(
-        _points(blocked.isNotNull(), -30),
+        _points(e("blocked").isNotNull(), -30),
         F.when(direct, 35).when(weaker, 25).when(label == "unknown_stream", 10),
-        _points(structured > 0, 30),
-        _points(identity > 0, F.least(F.lit(20), 5 + 4 * identity)),
+        _points(e("structured") > 0, 30),
+        _points(e("identity") > 0, F.least(F.lit(20), 5 + 4 * e("identity"))),
         _points(located, 20),
-        _points(inherited != 0, F.least(F.lit(15), F.floor(inherited / 5).cast("int"))),
-        F.least(F.lit(15), signature_weight(found)),
-        F.when(scope == "in_scope", 10).when(scope == "out_of_scope", -20),
-        F.when(live, 10).when(closed | dead, -20),
-        _points(login, -20),
-        _points(reached, 5),
+        _points(e("inherited") != 0, F.least(F.lit(15), F.floor(e("inherited") / 5).cast("int"))),
+        F.least(F.lit(15), signature_weight(e("found"))),
+        F.when(e("scope") == "in_scope", 10).when(e("scope") == "out_of_scope", -20),
+        F.when(e("live"), 10).when(e("closed") | dead, -20),
+        _points(e("login"), -20),
+        _points(e("reached"), 5),
     )
     reasons = present(
-        (blocked.isNotNull(), "candidate matched blocked-source policy"),
-        (direct | weaker, said),
+        (e("blocked").isNotNull(), "candidate matched blocked-source policy"),
+        (direct | weaker, F.concat(F.lit("direct "), label, F.lit(" media evidence"))),
         (label == "unknown_stream", "URL has stream-like path but protocol is unconfirmed"),
-        (structured > 0, "candidate came from structured camera metadata"),
-        (identity > 0, "candidate has camera identity/location/status fields"),
+        (e("structured") > 0, "candidate came from structured camera metadata"),
+        (e("identity") > 0, "candidate has camera identity/location/status fields"),
         (located, "candidate has source-extracted or geocoded coordinates"),
-        (inherited != 0, "candidate inherited evidence from its source row"),
-        (F.size(found) > 0, "candidate matched safe passive camera/media signatures"),
-        (scope == "in_scope", "candidate passed target scope check"),
-        (scope == "out_of_scope", "candidate is out of target scope"),
-        (live, "candidate passed media validation"),
-        (closed, "candidate validation indicates restricted/auth-required media"),
+        (e("inherited") != 0, "candidate inherited evidence from its source row"),
+        (F.size(e("found")) > 0, "candidate matched safe passive camera/media signatures"),
+        (e("scope") == "in_scope", "candidate passed target scope check"),
+        (e("scope") == "out_of_scope", "candidate is out of target scope"),
+        (e("live"), "candidate passed media validation"),
+        (e("closed"), "candidate validation indicates restricted/auth-required media"),
         (dead, "candidate validation indicates dead or non-camera media"),
         (idle, "candidate is not validated; evidence does not imply trust"),
-        (login, "candidate HTTP metadata advertises authentication"),
-        (reached, "candidate HTTP metadata shows reachable response"),
+        (e("login"), "candidate HTTP metadata advertises authentication"),
+        (e("reached"), "candidate HTTP metadata shows reachable response"),
     )
-    return F.struct(score.alias("score"), band(score).alias("band"), reasons.alias("reasons"), proto.alias("protocol"), F.slice(found, 1, 12).alias("signatures"), why(reasons, "Candidate").alias("why"))
+    done = found.withColumns({"_e_score": score, "_e_reasons": reasons})
+    result = F.struct(e("score").alias("score"), band(e("score")).alias("band"), e("reasons").alias("reasons"), e("protocol").alias("protocol"), F.slice(e("found"), 1, 12).alias("signatures"), why(e("reasons"), "Candidate").alias("why"))
+    return done.withColumn(out, result).select(*df.columns, out)
 
 
 def why(reasons: Column, prefix: str) -> Column:

@@ -37,6 +37,15 @@ def class_capped(df: DataFrame, is_class: Column, class_cap: int, other_cap: int
     return own.unionByName(rest).orderBy(*order).limit(left_all)
 
 
+def class_capped_per(df: DataFrame, keys: list[str], is_class: Column, class_cap: int, other_cap: int, total_cap: int, *order: str) -> DataFrame:
+    """``class_capped`` for each key at once: ranks are limited before the shuffle, so a key with most of the rows sends only its first ones."""
+    marked = df.withColumn("_class", F.coalesce(is_class, F.lit(False)))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_class").orderBy(*order))
+    fit = marked.withColumn("_n", inner).filter(F.col("_n") <= max(class_cap, other_cap)).filter(F.col("_n") <= F.when(F.col("_class"), class_cap).otherwise(other_cap))
+    outer = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return fit.withColumn("_n", outer).filter(F.col("_n") <= total_cap).drop("_n", "_class")
+
+
 def batches(df: DataFrame, size: int, *order: str, out: str = "batch") -> DataFrame:
     """Numbers rows by batches of ``size``, in order.
 

@@ -64,7 +64,7 @@ def merge_harvest_records(df: DataFrame) -> DataFrame:
     if "metadata" in df.columns:
         aggs.append(F.transform(in_order(F.collect_list(F.struct("_ord", "metadata"))), lambda x: x["metadata"]).alias("_maps"))
     aggs.append(F.array_sort(F.collect_list(F.when(text(F.col("source_url")) != "", F.struct("_ord", "source_url")))).alias("_sources"))
-    out = rows.groupBy("_key").agg(F.min("_ord").alias("_ord"), *aggs)
+    out = rows.groupBy("_key").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord")
     sources = F.array_distinct(F.transform(F.col("_sources"), lambda x: x["source_url"]))
     out = out.withColumn("duplicate_sources", F.array_remove(sources, F.coalesce("source_url", F.lit("")))).drop("_sources")
     if "metadata" in df.columns:
@@ -93,8 +93,8 @@ def _overridden(own: Column, other: Column) -> Column:
     return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(over, k)), over)
 
 
-def fold_candidates(df: DataFrame) -> DataFrame:
-    """One candidate for each canonical URL by an order-dependent fold.
+def fold_candidates(df: DataFrame, *keys: str) -> DataFrame:
+    """One candidate for each canonical URL (and ``keys``) by an order-dependent fold.
 
     1. An HLS row replaces one that isn't, as it is.
     2. A located row replaces an unlocated one, or one from no structured source
@@ -108,7 +108,7 @@ def fold_candidates(df: DataFrame) -> DataFrame:
     fields = [c for c in df.columns if c != "_ord"]
     url = F.regexp_replace(U.canonical(F.col("stream_url")), "(?s)#.*$", "")
     rows = df.withColumn("stream_url", url).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
-    packed = rows.groupBy(F.col("stream_url").alias("_key")).agg(in_order(F.collect_list(F.struct("_ord", F.struct(*fields).alias("r")))).alias("_rows"))
+    packed = rows.groupBy(*keys, F.col("stream_url").alias("_key")).agg(in_order(F.collect_list(F.struct("_ord", F.struct(*fields).alias("r")))).alias("_rows"))
     kind = lambda r: M.type_for_caps(F.try_element_at(r["metadata"], F.lit("media_type")), r["stream_url"])
     located = lambda r: r["lat"].isNotNull() & r["lon"].isNotNull()
     structured = lambda r: ~F.lower(text(F.try_element_at(r["metadata"], F.lit("json_metadata_extracted")))).isin("", "false", "0")
@@ -127,7 +127,7 @@ def fold_candidates(df: DataFrame) -> DataFrame:
         )
 
     folded = F.aggregate(F.slice(F.col("_rows"), 2, 2147483647), F.col("_rows")[0]["r"], lambda acc, x: step(acc, x["r"]))
-    return packed.select(F.col("_rows")[0]["_ord"].alias("_ord"), folded.alias("r")).select("_ord", "r.*")
+    return packed.select(F.col("_rows")[0]["_ord"].alias("_ord"), folded.alias("r")).select("_ord", "r.*").select(*df.columns)
 
 
 def merge_target_sets(df: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def merge_endpoints(df: DataFrame) -> DataFrame:
         # Later values win: merge in reverse order.
         maps = F.reverse(F.transform(in_order(F.collect_list(F.struct("_ord", "metadata"))), lambda x: x["metadata"]))
         aggs.append(merged_map(maps).alias("metadata"))
-    return df.groupBy("endpoint_url").agg(F.min("_ord").alias("_ord"), *aggs).select(*df.columns)
+    return df.groupBy("endpoint_url").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord").select(*df.columns)
 
 
 def first_cameras(records: DataFrame) -> DataFrame:

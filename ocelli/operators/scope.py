@@ -99,21 +99,22 @@ def names_place(value: Column, target: list[Column]) -> Column:
     return (F.length(t) >= 4) & ~low.isin("camera", "cameras", "traffic", "webcam", "snapshot", "image") & ~path & ~roads & (clue | ~generic) & t.rlike(r"\p{L}")
 
 
-def geocode_query(c=F.col, target=None) -> Column:
-    """Query for a candidate's place: the first specific metadata, else its own text or title, with the target's context; null if none."""
-    t = target or (lambda k: F.col(f"t_{k}"))
-    context = [t("canonical_target"), t("target_label"), t("admin_region"), t("country")]
-    meta = lambda k: F.try_element_at(c("metadata"), F.lit(k))
+def with_geocode_query(df: DataFrame, out: str = "geocode_query") -> DataFrame:
+    """Adds the query for a candidate's place (rows of ``with_target``): the first specific metadata, else its own text or title, with the target's context; null if none."""
+    context = [F.col(f"t_{k}") for k in ("canonical_target", "target_label", "admin_region", "country")]
+    meta = lambda k: F.try_element_at("metadata", F.lit(k))
     keys = ("location_display", "location_text", "intersection", "cross_street", "route", "road", "direction", "city", "county", "district", "camera_name")
     structured = F.when(text(meta("json_metadata_extracted")) == "true", meta("camera_id"))
-    pick = lambda values: F.coalesce(*[F.when(names_place(v, context), F.trim(text(v))) for v in values])
-    first = F.coalesce(pick([*map(meta, keys), structured]), pick([c("location_text"), c("title")]))
+    # One test over an array of texts rather than one for each text.
+    values = F.array(*[text(v) for v in (*map(meta, keys), structured, F.col("location_text"), F.col("title"))])
+    first = F.trim(F.try_element_at(F.filter(values, lambda v: names_place(v, context)), F.lit(1)))
     suffix = F.array_join(distinct_ignoring_case(present(*[(text(x) != "", x) for x in (context[0], context[2], context[3])])), ", ")
+    mid = df.withColumns({"_g_first": first, "_g_suffix": suffix})
     same = F.lit(False)
     for x in context:
-        same = same | (F.lower(first) == F.lower(text(x)))
-    full = F.when((suffix != "") & ~F.lower(first).contains(F.lower(suffix)), F.concat_ws(", ", first, suffix)).otherwise(first)
-    return F.when(first.isNotNull() & ~same, F.substring(full, 1, 300))
+        same = same | (F.lower("_g_first") == F.lower(text(x)))
+    full = F.when((F.col("_g_suffix") != "") & ~F.lower("_g_first").contains(F.lower("_g_suffix")), F.concat_ws(", ", "_g_first", "_g_suffix")).otherwise(F.col("_g_first"))
+    return mid.withColumn(out, F.when(F.col("_g_first").isNotNull() & ~same, F.substring(full, 1, 300))).drop("_g_first", "_g_suffix")
 
 
 def safe_geocode_query(value: Column) -> Column:
@@ -197,7 +198,8 @@ def enriched(df: DataFrame, targets: DataFrame, geocodes: DataFrame, limit: int,
     base = with_target(df, targets)
     own = own_coordinates()
     base = base.withColumn("_own", F.when(F.col("lat").isNull() | F.col("lon").isNull(), own))
-    base = base.withColumn("_query", F.when(F.col("_own").isNull() & (F.col("lat").isNull() | F.col("lon").isNull()), geocode_query()))
+    base = with_geocode_query(base, "_query")
+    base = base.withColumn("_query", F.when(F.col("_own").isNull() & (F.col("lat").isNull() | F.col("lon").isNull()), F.col("_query")))
     asked = base.filter("_query IS NOT NULL").select("target_id", "_ord", enrichment_rank().alias("_r"), "stream_url", F.lower(text(F.col("t_scope_type"))).isin("state", "region", "country", "metro", "county").alias("_wide"))
     admitted = _admitted(asked, limit, wide_limit)
     cache = geocodes.filter(G.valid(F.col("lat"), F.col("lon"))).groupBy("query").agg(F.min(F.struct("lat", "lon", "display_name")).alias("_g"))

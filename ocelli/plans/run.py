@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import url as U
-from ..functions.evidence import candidate_evidence
+from ..functions.evidence import with_candidate_evidence
 from ..functions.geo import valid
 from ..functions.text import text
 from ..operators import extract, merge, scope, sinks, summarize, trust
-from ..operators.admit import class_capped
+from ..operators.admit import class_capped_per
 from ..operators.policy import Rule, block_reason, record_block_reason, unblocked
 from ..operators.rank import prioritized
 
@@ -68,23 +68,14 @@ def described(df: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def discovered(payloads: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:
-    """Candidates of payloads (``target_id`` included): extracted, admitted under caps for each target, folded by URL.
-
-    Caps are of one run with few targets, so they are applied target by target.
-    """
+    """Candidates of payloads (``target_id`` included): extracted, admitted under caps for each target, folded by URL."""
     own = unblocked(payloads, config.rules, "payload_url").filter("status IS NULL OR status < 400")
-    found = extract.run_candidates(own).join(own.select(F.col("_ord").alias("payload_ord"), "target_id"), "payload_ord")
+    found = extract.run_candidates(own, keep="target_id")
     rows = shaped(found.withColumnRenamed("url", "stream_url").withColumn("_ord", (F.col("payload_ord") * 1000000 + F.col("record_ord")).cast("long")))
     rows = rows.filter(record_block_reason(F.col("stream_url"), F.col("source_url"), config.rules).isNull()) if config.rules else rows
     kind = M.type_for_caps(F.try_element_at("metadata", F.lit("media_type")), F.col("stream_url"))
-    parts = []
-    for t in [r[0] for r in targets.select("target_id").collect()]:  # the run's targets
-        admitted = class_capped(rows.filter(F.col("target_id") == t), kind == "hls", config.max_hls, config.max_images, config.max_total, "_ord")
-        parts.append(merge.fold_candidates(admitted))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return described(out, targets)
+    admitted = class_capped_per(rows, ["target_id"], kind == "hls", config.max_hls, config.max_images, config.max_total, "_ord")
+    return described(merge.fold_candidates(admitted, "target_id"), targets)
 
 
 def from_handoff(records: DataFrame, targets: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -117,9 +108,9 @@ def from_handoff(records: DataFrame, targets: DataFrame, rules: list[Rule]) -> D
 
 def finished(candidates: DataFrame, targets: DataFrame, probes: DataFrame, config: RunConfig) -> DataFrame:
     """Validated candidates with evidence, priority, and whether they are trusted or for review."""
-    done = trust.validated(candidates, probes, config.validates, config.checks_segments)
-    e = candidate_evidence(blocked=record_block_reason(F.col("stream_url"), F.col("source_url"), config.rules))
-    scored = done.withColumn("_e", e).withColumns(
+    # Whether anything is in scope decides what is validated, so candidates are used twice.
+    done = trust.validated(candidates.persist(), probes, config.validates, config.checks_segments)
+    scored = with_candidate_evidence(done, record_block_reason(F.col("stream_url"), F.col("source_url"), config.rules), "_e").withColumns(
         {
             "camera_evidence_score": F.col("_e.score"),
             "camera_evidence_band": F.col("_e.band"),
