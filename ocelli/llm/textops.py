@@ -8,6 +8,8 @@ is bounded by the longest single document rather than by the batch.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -117,27 +119,29 @@ def words(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hash_spans(seq, starts, ends), doc, per_doc
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, made when first asked for and never shipped with a function."""
+def process_cache() -> dict:
+    """A dictionary that lasts as long as this Python process.
 
-    def __init__(self) -> None:
-        self.pair: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64),) * 2
-
-    def __reduce__(self):
-        return _Powers, ()
-
-    def __call__(self, n: int) -> tuple[np.ndarray, ...]:
-        if len(self.pair[0]) < n:
-            size = 1 << max(21, int(n).bit_length())
-            base = int(_MULT)
-            runs = [np.full(size, np.uint64(b), np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-            for a in runs:
-                a[0] = 1
-            self.pair = tuple(np.multiply.accumulate(a) for a in runs)
-        return self.pair
-
-
-_powers = _Powers()
+    Functions that reach an executor by value bring globals of their own, which
+    live for one task and, being cyclic, are freed late.  What is large and the
+    same for all tasks belongs here.
+    """
+    return sys.modules.setdefault("_ocelli_process", types.ModuleType("_ocelli_process")).__dict__
+
+
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    cache = process_cache()
+    if len(cache.get("powers", ((),))[0]) < n:
+        size = 1 << max(21, int(n).bit_length())
+        base = int(_MULT)
+        found = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            a = np.full(size, np.uint64(b), np.uint64)
+            a[0] = 1
+            found.append(np.multiply.accumulate(a, out=a))
+        cache["powers"] = tuple(found)
+    return cache["powers"]
 
 
 def hash_spans(seq: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
