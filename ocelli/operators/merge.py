@@ -41,7 +41,7 @@ FILLED = (
 
 def merged_map(maps: Column) -> Column:
     """One map of many, in order: the first value of each key, empty ones skipped."""
-    entries = F.filter(F.flatten(F.transform(maps, lambda m: F.map_entries(m))), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]", "{}"))
+    entries = F.filter(F.flatten(F.transform(F.filter(maps, lambda m: m.isNotNull()), lambda m: F.map_entries(m))), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]", "{}"))
     keys = F.transform(entries, lambda e: e["key"])
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
@@ -126,7 +126,7 @@ def fold_candidates(df: DataFrame, *keys: str) -> DataFrame:
             .otherwise(rebuilt(old, title=take("title"), location_text=take("location_text"), metadata=meta))
         )
 
-    folded = F.aggregate(F.slice(F.col("_rows"), 2, 2147483647), F.col("_rows")[0]["r"], lambda acc, x: step(acc, x["r"]))
+    folded = F.aggregate(F.slice(F.col("_rows"), F.lit(2), F.size("_rows")), F.col("_rows")[0]["r"], lambda acc, x: step(acc, x["r"]))
     return packed.select(F.col("_rows")[0]["_ord"].alias("_ord"), folded.alias("r")).select("_ord", "r.*").select(*df.columns)
 
 

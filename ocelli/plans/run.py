@@ -42,7 +42,7 @@ class RunConfig:
 
 CANDIDATE = (
     "candidate_id bigint, _ord bigint, set_ord int, stream_url string, source_url string, discovery_method string, title string, lat double, lon double, location_text string, scope_status string, "
-    "validation_status string, trust_level string, target_id string, target_index int, target_label string, coordinate_source string, reasons array<string>, metadata map<string,string>"
+    "validation_status string, trust_level string, target_id string, target_index int, target_label string, coordinate_source string, geocoded_query string, geocoded_display_name string, llm_semantic_decision string, llm_semantic_confidence double, llm_semantic_reason string, reasons array<string>, metadata map<string,string>"
 )
 
 
