@@ -39,7 +39,7 @@ OUTSIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments commentlist
     consent cookie cookies copyright disqus footer foot gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices
     notification overlay pager pagination paywall popup popover promo promos promoted promotion recommend recommended recommendations related
-    reply replies respond reviews-list search share sharing shares sidebar side signin signup skip skiplink social sponsor sponsored sponsors subscribe
+    reply replies respond responses discussion reviews-list search share sharing shares sidebar side signin signup skip skiplink social sponsor sponsored sponsors subscribe
     subscription tagcloud tags-list teaser-list toolbar tooltip topbar widget widgets alert alerts aside feedback""".split()
 )
 #: Words in class or id that mark an article.
@@ -49,6 +49,8 @@ PUNCTUATION = re.compile(r"[,.;:!?…。，、！？；：]")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Names that tell what a layout has or lacks ("no-sidebar") rather than what it is.
+STATE = re.compile(r"(?i)(?:no|has|with|without|is|hide|show)[-_]")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACES = re.compile(r"\s+")
 
@@ -58,8 +60,8 @@ THRESHOLD = 0.35
 KERNEL = (0.25, 0.5, 0.25)
 
 
-def _mark(tag: str, attributes: str, inside: bool) -> int:
-    """-1: outside the article; 1: may hold it; 2: is marked as holding it; 0: neither.  ``inside``: within a marked element."""
+def _mark(tag: str, attributes: str, inside: bool, by_words: bool = True) -> int:
+    """-1: outside the article; 1: may hold it; 2: is marked as holding it; 0: neither.  ``inside``: within a marked element; ``by_words``: class and id count."""
     if tag in OUTSIDE or tag == "header" and not inside:
         return -1
     mark = 2 if tag in ("article", "main") else 0
@@ -72,8 +74,8 @@ def _mark(tag: str, attributes: str, inside: bool) -> int:
                 mark = max(mark, 2 * (value.lower() in ("main", "article")))
             elif name == "itemprop" and value.lower() == "articlebody":
                 mark = 2
-            elif name in ("class", "id") and tag not in ("html", "body"):
-                own = {w.lower() for w in WORDS.findall(value)} | {x.lower() for x in value.split()}
+            elif name in ("class", "id") and by_words and tag not in ("html", "body"):
+                own = {w.lower() for x in value.split() if not STATE.match(x) for w in (x, *WORDS.findall(x))}
                 if own & OUTSIDE_WORDS:
                     return -1
                 if own & INSIDE_WORDS:
@@ -92,8 +94,8 @@ class Block:
         self.path, self.marks, self.parts, self.links, self.text = path, marks, [], 0, ""
 
 
-def cut(page: str) -> list[Block]:
-    """Blocks of a page outside of what never holds text, in page order."""
+def cut(page: str, by_words: bool = True) -> list[Block]:
+    """Blocks of a page outside of what never holds the article, in page order; ``by_words``: class and id count."""
     stack: list[tuple[str, int, int]] = []  # (tag, mark, number of the element)
     blocks: list[Block] = []
     now: Block | None = None
@@ -162,7 +164,7 @@ def cut(page: str) -> list[Block]:
         if attributes.endswith("/"):
             continue
         number += 1
-        mark = _mark(tag, attributes, marked > 0)
+        mark = _mark(tag, attributes, marked > 0, by_words)
         stack.append((tag, mark, number))
         dropped += mark < 0
         marked += mark > 0
@@ -192,7 +194,8 @@ def path_scores(blocks: list[Block]) -> dict[tuple, float]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = cut(page or "")
+    # Where names alone rule out the whole page, they are no guide.
+    blocks = cut(page or "") or cut(page or "", by_words=False)
     if not blocks:
         return ""
     score = path_scores(blocks)

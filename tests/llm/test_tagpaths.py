@@ -20,6 +20,11 @@ def test_marked_by_class_only():
     assert T.main_text(page) == "Body text, of some length. It goes on, and on."
 
 
+def test_names_of_layouts():
+    assert T.main_text('<div class="layout no-sidebar"><article><p>Text, here.</p></article></div>') == "Text, here."
+    assert T.main_text('<div id="comments-page"><p>All there is, here.</p></div>') == "All there is, here."
+
+
 def test_odd_pages():
     assert T.main_text(None) == T.main_text("") == T.main_text("<p></p>") == T.main_text("<script>x") == ""
     assert T.main_text("just text, no tags") == "just text, no tags"
