@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keyed, parts, written
+from .shared import numbered, parts, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """``doc_id, size, source_size, target, taken`` for each row of ``docs``; with ``keep`` the columns of ``docs`` and ``taken`` for rows that are taken."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rid = F.monotonically_increasing_id()
-    slim = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    whole, name = numbered(docs) if keep else (docs, None)
+    rid = F.col(name) if keep else F.monotonically_increasing_id()
+    slim = whole.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
     slim = slim.withColumn("absent", F.col("source").isNull().cast("int")).withColumn("shuffled", shuffle_key(F.col("doc_id")))
     order = ["absent", "source", "shuffled", "doc_id", "rid"]
     queue = ranged(slim, order, "wfq-queue")
@@ -107,7 +108,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         taken = taken + F.when(F.col("size") == 0, 0).when(at < last, F.col("size")).when(at == last, F.lit(int(cut[5]))).otherwise(0)
     done = packets.withColumn("taken", taken.cast("long"))
     if keep:
-        whole, name = keyed(docs)
         amount = "taken" if "taken" not in {c.lower() for c in docs.columns} else "taken_words"
         rows = done.filter("taken > 0").select(F.col("rid").alias(name), F.col("taken").alias(amount))
         return whole.join(rows, name).select(*[F.col(f"`{c}`") for c in docs.columns], amount)

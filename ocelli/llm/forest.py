@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import only, parts, written
+from .shared import numbered, only, parts, written
 from .textops import BLANKS, blocks, buffers, canonical, mix64, shingle_sets, signed, words
 
 COMPONENTS = 128
@@ -269,14 +269,19 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``rid, doc_id, n_shingles, component_id, first`` for each row of ``docs``.
 
     ``component_id``: the smallest id of the class of near duplicates (``percent``
     of the union in common); ``first``: whether the row is the one to keep.
+    ``row_col``: the row number of a table that ``numbered`` wrote; without it, ids and
+    texts are written with one.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if row_col is None:
+        docs, row_col = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        id_col, text_col = "doc_id", "text"
+    texts = docs.select(F.col(row_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(_signer(width), _SIGNED), "forest-rows")
     low = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
     sets = rows.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.min(low).alias("low"), F.min("sig").alias("sig"))
@@ -317,4 +322,5 @@ def report(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class."""
-    return only(docs, classes(docs, width, percent, id_col, text_col).filter("first").select("rid"))
+    whole, name = numbered(docs)
+    return only(whole, name, classes(whole, width, percent, id_col, text_col, name).filter("first").select("rid"))

@@ -30,22 +30,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a row number under a name that no column has.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once, with a row number under a name that no column has.
 
-    The same rows get the same numbers whenever ``docs`` is read again, as long as
-    it is a stored table (perhaps filtered or projected): a row's number is that of
-    its file split and its place there.
+    The numbers depend on how files are split, which differs from scan to scan as
+    cores come and go; so every join by row has to read this table, never ``docs``.
     """
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in (f"_row{k}" for k in range(len(taken) + 1)) if n not in taken)
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``rows`` (a frame of one column)."""
-    whole, name = keyed(docs)
-    return whole.join(rows.toDF(name), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+def only(whole: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """The rows of ``whole`` (from ``numbered``, as is ``name``) whose number is in ``rows`` (a frame of one column)."""
+    return whole.join(rows.toDF(name), name, "left_semi").drop(name)
 
 
 def parts(spark: SparkSession) -> int:
