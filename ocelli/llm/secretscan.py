@@ -1,9 +1,14 @@
 """Secret scanning: fixed patterns, and a character network for what they miss.
 
-Base findings come from three patterns.  Beside them, every run of characters
-that credentials are written in (12 or more, with a digit and a letter) is a
-candidate.  A convolutional network over the candidate's characters and
-``CONTEXT`` characters on each side gives it a score; numpy does all of it.
+Base findings come from three patterns.  Beside them, these are candidates: every
+run of 12 or more characters that keys are written in, and each of its pieces of
+12 or more between ``/``, ``=`` and ``.``; every value of 8 or more characters with
+a symbol inside, or with a symbol, a letter and a digit; and the password of a
+URL.  A convolutional network over a candidate's characters and ``CONTEXT``
+characters on each side gives it a score; of a candidate longer than ``BODY``, all
+overlapping windows are scored and the highest counts.  Where a piece scores, it
+is the finding, with neighbours that look like parts of the same key; where only
+a window over several pieces does, the window is.  numpy does all of it.
 The network is trained on labelled findings: credential formats and look-alikes
 in varied surroundings, made by ``labelled_findings`` from a seed.  On findings
 held back, scores are calibrated to probabilities (Platt), and the threshold is
@@ -16,6 +21,7 @@ whole, of any length; ids may be null or repeat.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,6 +40,15 @@ KINDS = ("assign", "access", "hex", "model")
 #: All candidates, and all base findings but assignments, lie within such a run.
 RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{12,}")
 TRIM = re.compile(r"^[.\-=/]+|[.\-/]+$")
+#: What lies between the separators of paths, dotted names and assignments.
+PIECE = re.compile(r"[A-Za-z0-9+_\-]+")
+#: A piece that may be a part of a key: letters and a digit, or capitals within.
+MIXED = re.compile(r"(?=.*[0-9]).*[A-Za-z]|.*[a-z].*[A-Z].*[A-Z]|.*[A-Z]{2}.*[a-z]")
+VALUE = re.compile(r"[!#$%&*+\-./0-9:=?@A-Z^_a-z~]{8,}")
+NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*[:=]+(?!//)")
+INNER = re.compile(r"[A-Za-z0-9].*[!#$%&*?@^~].*[A-Za-z0-9]")
+SYMBOL = re.compile(r"[!#$%&*?@^~]")
+USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,15}://[^\s/:@\"'<>]*:([^\s/\"'<>]+)@")
 
 CONTEXT = 24
 BODY = 48
@@ -61,8 +76,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def candidates(text: str, runs: list[tuple[int, int]], taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs with a digit and a letter that no base finding touches."""
+def slid(a: int, b: int) -> list[tuple[int, int]]:
+    """Overlapping windows of at most ``BODY`` characters over a span."""
+    if b - a <= BODY:
+        return [(a, b)]
+    return [(i, i + BODY) for i in range(a, b - BODY, BODY // 2)] + [(b - BODY, b)]
+
+
+def candidates(text: str, runs: list[tuple[int, int]], taken: list[Span]) -> list[tuple[int, int, int, int, int]]:
+    """(begin, end) of each window to score, the span that it stands for, and 0, or 1 for a window over several pieces; none touches a base finding."""
     out = []
     for a, b in runs:
         piece = TRIM.sub("", text[a:b])
@@ -70,9 +92,27 @@ def candidates(text: str, runs: list[tuple[int, int]], taken: list[Span]) -> lis
             continue
         a += text[a:b].index(piece)
         b = a + len(piece)
-        if not any(a < e and s < b for _, s, e in taken):
-            out.append((a, b))
-    return out
+        parts = [m.span() for m in PIECE.finditer(text, a, b)]
+        if len(parts) > 1:
+            edges, begins = [e for _, e in parts], [s for s, _ in parts]
+            for s, e in slid(a, b):
+                # Grown to the ends of the pieces that it cuts.
+                first, last = bisect.bisect_right(begins, s) - 1, bisect.bisect_left(edges, e)
+                out.append((s, e, min(s, begins[max(first, 0)]) if edges[max(first, 0)] > s else s, max(e, edges[last]) if last < len(edges) and begins[last] < e else e, 1))
+        mixed = [bool(MIXED.match(text, s, e)) for s, e in parts]
+        for k, (s, e) in enumerate(parts):
+            if e - s < 12:
+                continue
+            i = j = k
+            while i and mixed[i - 1] and parts[i][0] - parts[i - 1][1] == 1:
+                i -= 1
+            while j + 1 < len(parts) and mixed[j + 1] and parts[j + 1][0] - parts[j][1] == 1:
+                j += 1
+            end = parts[j][1]
+            while end < b and text[end] == "=" and j == len(parts) - 1:
+                end += 1
+            out += [(x, y, parts[i][0], end, 0) for x, y in slid(s, e)]
+    return [c for c in out if not any(c[0] < e and s < c[1] for _, s, e in taken)] if taken else out
 
 
 # --- encoding and network -------------------------------------------------
@@ -83,8 +123,8 @@ OTHER = len(CLASSES) + 1
 
 
 def window(text: str, a: int, b: int) -> list[int]:
-    """Codes of the context before, the candidate (its middle left out if long), and the context after."""
-    body = text[a:b] if b - a <= BODY else text[a : a + BODY // 2] + text[b - BODY // 2 : b]
+    """Codes of the context before, the candidate (at most ``BODY`` characters), and the context after."""
+    body = text[a:b]
     before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
     code = [CLASSES.get(c, OTHER) for c in before + body + after]
     return [0] * (CONTEXT - len(before)) + code[: len(before) + len(body)] + [0] * (BODY - len(body)) + code[len(before) + len(body) :] + [0] * (CONTEXT - len(after))
@@ -191,27 +231,56 @@ class Network:
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _SYLLABLES = "th an in er re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce la el ch ei un ción que ment der sch".split()
+_ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kn pf ph pl pr qu sch sh sl sn sp st str th tr wh zw ".split(" ")
+_VOWELS = "a e i o u a e i o ea ei ie io ou au eu".split()
+_CODAS = " n r s t l m nd ng nt st rt ch cht ll pf ble ck tion ung keit lich ing ber sch th".split(" ")
 
 
-def labelled_findings(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled_findings(n: int = 15000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels (1: a secret) of ``n`` made findings."""
     r = np.random.default_rng(seed)
     pick = lambda s, k: "".join(s[i] for i in r.integers(0, len(s), k))
     some = lambda a, b: int(r.integers(a, b))
     word = lambda: "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), some(1, 5)))
     words = lambda k: " ".join(word().capitalize() if r.random() < 0.12 else word() for _ in range(k))
+    long_word = lambda: "".join(_SYLLABLES[i] for i in r.integers(0, len(_SYLLABLES), some(6, 12)))
+    spoken = lambda: "".join(_ONSETS[some(0, len(_ONSETS))] + (_VOWELS[some(0, len(_VOWELS))] if r.random() < 0.85 else "") + _CODAS[some(0, len(_CODAS))] for _ in range(some(3, 7))).ljust(12, "e")[: some(12, 28)]
     mixed = _LOWER + _UPPER + _DIGIT
+    symbol = lambda: "!@#$%^&*?"[some(0, 9)]
+    prefix = lambda: ("ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "pk_live_", "npm_", "hf_")[some(0, 9)]
+    swaps = {"a": "@4", "e": "3", "i": "1!", "o": "0", "s": "$5", "t": "7"}
+
+    def leet() -> str:
+        """A password made of words: some letters swapped, then symbols and digits."""
+        body = "".join(swaps[c][some(0, len(swaps[c]))] if c in swaps and r.random() < 0.5 else c for c in word() + word())[: some(6, 12)]
+        body = body.capitalize() if r.random() < 0.6 else body
+        return body + symbol() + pick(mixed, some(1, 5)) + (symbol() if r.random() < 0.5 else "")
+
+    schemes = ("https://", "http://", "postgres://", "ftp://", "redis://", "amqp://")
     secrets = (
         lambda: pick(mixed, some(20, 48)),
         lambda: pick(mixed + "+/", some(24, 64)) + "=" * some(0, 3),
         lambda: pick("0123456789abcdef", some(16, 32)),
         lambda: pick("0123456789ABCDEF", some(24, 65)),
         lambda: pick(_UPPER + _DIGIT, some(18, 40)),
-        lambda: ("ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "sk-", "pk_live_", "npm_", "hf_")[some(0, 9)] + pick(mixed, some(20, 44)),
+        lambda: prefix() + pick(mixed, some(20, 44)),
         lambda: "eyJ" + pick(mixed, some(14, 30)) + ".eyJ" + pick(mixed, some(20, 60)) + "." + pick(mixed + "_-", some(24, 48)),
         lambda: "AIza" + pick(mixed + "_-", 35),
         lambda: "ASIA" + pick(_UPPER + _DIGIT, 16),
         lambda: pick(mixed + "_-", some(20, 50)),
+        lambda: pick(_LOWER + _UPPER, some(20, 48)),
+        lambda: prefix() + pick(_LOWER + _UPPER, some(20, 44)),
+        lambda: pick(_LOWER + _UPPER, some(3, 7)) + symbol() + pick(mixed, some(2, 7)) + symbol() + pick(mixed, some(1, 5)),
+        lambda: pick(mixed, some(7, 12)) + symbol() + pick(mixed, some(0, 3)) + symbol(),
+        lambda: leet(),
+        lambda: leet(),
+    )
+    # Only their surroundings tell these: a password in a URL, digits after the name of a key, a key within a path.
+    placed = (
+        lambda: (words(2) + " " + schemes[some(0, len(schemes))] + word() + ":", pick(mixed + "!$%^&*", some(5, 20)), "@" + word() + ".example.com/" + word()),
+        lambda: (words(2) + " " + hints[some(0, len(hints) - 1)], pick(_DIGIT, some(16, 40)), " " + words(2)),
+        lambda: (words(1) + " " + "/".join(word() for _ in range(some(2, 6))) + "/", prefix() + pick(mixed, some(20, 40)), "/" + "/".join(word() for _ in range(some(1, 5))) + ".html"),
+        lambda: (words(1) + " " + "/".join(word() for _ in range(some(2, 6))) + "?" + word() + "=", pick(mixed, some(20, 44)), "&" + word() + "=" + pick(_DIGIT, 2)),
     )
     harmless = (
         lambda: word() + pick(_DIGIT, some(2, 5)) + "-" + word() + word(),
@@ -230,16 +299,48 @@ def labelled_findings(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndar
         lambda: word() + "-" + word() + "-" + word() + "-" + pick(_DIGIT, some(1, 5)),
         lambda: pick(_DIGIT, some(8, 14)) + word() + word(),
         lambda: "ISBN" + pick(_DIGIT, 3) + "-" + pick(_DIGIT, 10),
+        lambda: long_word(),
+        lambda: long_word(),
+        lambda: long_word().capitalize(),
+        lambda: long_word().upper(),
+        lambda: spoken(),
+        lambda: spoken(),
+        lambda: spoken(),
+        lambda: spoken(),
+        lambda: spoken().capitalize(),
+        lambda: spoken().capitalize(),
+        lambda: spoken().capitalize(),
+        lambda: spoken().upper(),
+        lambda: spoken() + "/" + spoken(),
+        lambda: word() + "".join(word().capitalize() for _ in range(some(1, 5))),
+        lambda: "_".join(word() for _ in range(some(3, 7))),
+        lambda: "-".join(word().capitalize() if r.random() < 0.3 else word() for _ in range(some(3, 7))),
+        lambda: "/".join(word() for _ in range(some(3, 10))),
+        lambda: ".".join(word() for _ in range(some(3, 6))),
+        lambda: pick(_DIGIT, some(12, 24)),
+        lambda: ".".join(str(some(0, 256)) for _ in range(4)),
+        lambda: "".join(spoken()[: some(2, 6)] for _ in range(4)),
+        lambda: "".join(spoken()[: some(2, 6)] for _ in range(4)).capitalize(),
+        lambda: "".join(spoken()[-some(2, 6) :] for _ in range(4)),
+        lambda: "".join(spoken()[-some(2, 6) :] for _ in range(4)).upper(),
+        lambda: "-=_."[some(0, 4)] * some(12, 40),
+        lambda: word() + word() + symbol() + word() + word(),
+        lambda: word() + pick(_DIGIT, some(1, 3)) + "@" + word() + pick(_DIGIT, 1) + ".example.com",
+        lambda: word() + word() + "." + pick(_DIGIT, 2) + "@" + "mail" + pick(_DIGIT, 1) + ".example.com",
+        lambda: word() + word() + pick(_DIGIT, some(1, 4)) + symbol() * some(1, 4),
+        lambda: "?" + word() + "=" + pick(_DIGIT, some(1, 5)) + "&" + word() + "=" + word(),
     )
     hints = ("key=", "key: ", "auth: Bearer ", "credential = ", "private_key=", "pwd=", "access ", "export KEY=", "client_secret_id ", "")
     marks = ("", " ", '"', "'", "=", ": ", "(", "<", "/")
     x, y = [], []
     for i in range(n):
-        y.append(i % 2)
-        if i % 2:
+        y.append(i % 5 < 2)
+        if y[-1]:
+            if r.random() < 0.2:
+                before, body, after = placed[some(0, len(placed))]()
+                x.append(window(before + body + after, len(before), len(before) + len(body)))
+                continue
             body = secrets[some(0, len(secrets))]()
-            if not re.search(r"\d", body) or not re.search("[A-Za-z]", body):
-                body += "4x"
             before = words(some(1, 6)) + " " + (hints[some(0, len(hints))] if r.random() < 0.4 else "") + ('"' if r.random() < 0.2 else "")
         else:
             body = harmless[some(0, len(harmless))]()
@@ -248,7 +349,8 @@ def labelled_findings(n: int = 6000, seed: int = 5) -> tuple[np.ndarray, np.ndar
                 before += pick(_LOWER, 5) + "." + pick(_DIGIT, 2) + "@"
         after = ("" if r.random() < 0.1 else (" ", ". ", ", ", '" ', "\n", ") ")[some(0, 6)]) + words(some(1, 6))
         text = before + body + after
-        x.append(window(text, len(before), len(before) + len(body)))
+        every = slid(len(before), len(before) + len(body))
+        x.append(window(text, *every[some(0, len(every))]))
     return np.array(x, np.int64), np.array(y, np.float32)
 
 
@@ -258,7 +360,7 @@ def trained() -> Network:
     x, y = labelled_findings()
     cut = len(x) * 3 // 4
     net = Network()
-    net.fit(x[:cut], y[:cut])
+    net.fit(x[:cut], y[:cut], epochs=8)
     net.calibrate(x[cut:], y[cut:])
     return net
 
@@ -274,12 +376,33 @@ def find(texts: list[str | None], net: Network) -> list[tuple[list[Span], list[S
         runs = [m.span() for m in RUN.finditer(text)]
         base = base_spans(text, runs)
         out.append((base, []))
-        for a, b in candidates(text, runs, base) if runs else ():
+        for a, b, *span in candidates(text, runs, base):
             rows.append(window(text, a, b))
-            where.append((k, a, b))
-    for (k, a, b), p in zip(where, net.probability(np.array(rows, np.int64).reshape(-1, WIDTH))):
+            where.append((k, *span))
+    hits: dict[int, tuple[set, set]] = {}
+    for (k, a, b, over), p in zip(where, net.probability(np.array(rows, np.int64).reshape(-1, WIDTH))):
         if p >= net.threshold:
-            out[k][1].append(("model", a, b))
+            hits.setdefault(k, (set(), set()))[over].add((a, b))
+    for k, (own, over) in hits.items():
+        mine = union(own)
+        begins = [a for a, _ in mine]
+        for a, b in over:
+            # The network sees a piece that scores alone in the context of its neighbours too.
+            i = bisect.bisect_left(begins, b + CONTEXT) - 1
+            if i < 0 or mine[i][1] <= a - CONTEXT:
+                own.add((a, b))
+        out[k][1].extend(("model", a, b) for a, b in union(own))
+    return out
+
+
+def union(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans joined, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
