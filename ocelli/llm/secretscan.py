@@ -88,7 +88,7 @@ def candidates(text: str, runs: list[tuple[int, int]], taken: list[Span]) -> lis
     out = []
     for a, b in runs:
         piece = TRIM.sub("", text[a:b])
-        if len(piece) < 12 or not re.search(r"\d", piece) or not re.search(r"[A-Za-z]", piece):
+        if len(piece) < 12:
             continue
         a += text[a:b].index(piece)
         b = a + len(piece)
@@ -112,6 +112,18 @@ def candidates(text: str, runs: list[tuple[int, int]], taken: list[Span]) -> lis
             while end < b and text[end] == "=" and j == len(parts) - 1:
                 end += 1
             out += [(x, y, parts[i][0], end, 0) for x, y in slid(s, e)]
+    if SYMBOL.search(text):
+        values = [m.span() for m in VALUE.finditer(text) if SYMBOL.search(text, *m.span()) and "://" not in m[0]]
+        for a, b in values:
+            named = NAMED.match(text, a, b)
+            a = named.end() if named and b - named.end() >= 8 else a
+            while b > a and text[b - 1] in ".:":
+                b -= 1
+            own = text[a:b]
+            if b - a >= 8 and SYMBOL.search(own) and (INNER.search(own) or re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
+                out += [(x, y, a, b, 0) for x, y in slid(a, b)]
+        if "://" in text:
+            out += [(x, y, *m.span(1), 0) for m in USERINFO.finditer(text) for x, y in slid(*m.span(1))]
     return [c for c in out if not any(c[0] < e and s < c[1] for _, s, e in taken)] if taken else out
 
 
