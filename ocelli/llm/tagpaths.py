@@ -5,10 +5,12 @@ elements.  For each path the text length and the punctuation of its blocks are
 aggregated and divided by the number of its blocks; links count against it.
 Both ratios are smoothed along the page and fused into one score for each path.
 Paths through elements that never hold the article (menus, footers, adverts,
-forms, comments, ...) have no score.  Among the elements that may hold the
-article, the one whose paths score highest is chosen, and all its blocks are
-kept in page order, short ones too; where no element is marked, the paths over
-a share of the best score are kept, with what lies between them.
+forms, comments, ...) have no score.
+The paths over a share of the best score are the article's, where marks that an
+element may hold the article (its name, role or class) raise a path's score.
+Short blocks are filled in: all of the outermost marked elements that hold such a
+path, but for paths made of links;
+where no element is marked, what lies between the paths under the same parents.
 
 Edge cases: null or empty html, or a page without content, gives an empty text;
 unclosed elements, comments and scripts end with the page; ids and urls are
@@ -56,6 +58,9 @@ SPACES = re.compile(r"\s+")
 
 #: Share of the best path's score that a path needs where no element is marked.
 THRESHOLD = 0.35
+#: What an element's mark multiplies the scores of the paths in it by.
+BONUS = (1.0, 1.5, 2.0)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Weights of the smoothing along the page.
 KERNEL = (0.25, 0.5, 0.25)
 
@@ -88,10 +93,10 @@ def _mark(tag: str, attributes: str, inside: bool, by_words: bool = True) -> int
 
 
 class Block:
-    __slots__ = ("path", "marks", "parts", "links", "text")
+    __slots__ = ("path", "marks", "line", "parts", "links", "text")
 
-    def __init__(self, path: tuple, marks: tuple) -> None:
-        self.path, self.marks, self.parts, self.links, self.text = path, marks, [], 0, ""
+    def __init__(self, path: tuple, marks: tuple, line: tuple) -> None:
+        self.path, self.marks, self.line, self.parts, self.links, self.text = path, marks, line, [], 0, ""
 
 
 def cut(page: str, by_words: bool = True) -> list[Block]:
@@ -115,7 +120,7 @@ def cut(page: str, by_words: bool = True) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            now = Block(tuple(t for t, _, _ in stack), tuple((m, n) for _, m, n in stack if m > 0))
+            now = Block(tuple(t for t, _, _ in stack), tuple((m, n) for _, m, n in stack if m > 0), tuple(n for _, _, n in stack))
             blocks.append(now)
         now.parts.append(text)
         if links:
@@ -198,30 +203,31 @@ def main_text(page: str | None) -> str:
     blocks = cut(page or "") or cut(page or "", by_words=False)
     if not blocks:
         return ""
-    score = path_scores(blocks)
-    # What each marked element would give: the scores of its blocks, weighed by their text.
+    plain = path_scores(blocks)
+    whole = sum(plain[b.path] * len(b.text) for b in blocks)
+    # A mere word in a class is weaker evidence than text: its element must hold most of the page's score.
     gain: dict[int, float] = {}
-    strength: dict[int, int] = {}
     for b in blocks:
-        for mark, number in b.marks:
-            gain[number] = gain.get(number, 0) + score[b.path] * len(b.text)
-            strength[number] = mark
-    if gain:
-        # The strongest mark, then the most text; of nested ones the innermost that has nearly all of it.
-        top = max(strength.values())
-        best = max(v for n, v in gain.items() if strength[n] == top)
-        chosen = max(n for n, v in gain.items() if strength[n] == top and v >= 0.8 * best)
-        if top == 1:
-            # A mere word in a class is weaker evidence than text: it must hold most of the page's score.
-            whole = sum(score[b.path] * len(b.text) for b in blocks)
-            if gain[chosen] < 0.5 * whole:
-                chosen = 0
-        if chosen:
-            return "\n".join(b.text for b in blocks if any(n == chosen for _, n in b.marks))
-    limit = THRESHOLD * max(score.values())
-    good = [i for i, b in enumerate(blocks) if score[b.path] >= limit]
-    inside = {blocks[i].path[:-1] for i in good}
-    return "\n".join(b.text for i, b in enumerate(blocks) if score[b.path] >= limit or good[0] - 1 <= i <= good[-1] and b.path[:-1] in inside)
+        for _, n in b.marks:
+            gain[n] = gain.get(n, 0) + plain[b.path] * len(b.text)
+    marks = [[(m, n) for m, n in b.marks if m == 2 or gain[n] >= 0.5 * whole] for b in blocks]
+    score = [plain[b.path] * BONUS[max((m for m, _ in own), default=0)] for b, own in zip(blocks, marks)]
+    limit = THRESHOLD * max(score)
+    good = [i for i, v in enumerate(score) if v >= limit]
+    keep = set(good)
+    top = max((m for i in good for m, _ in marks[i]), default=0)
+    if top:
+        chosen = {next(n for m, n in marks[i] if m == top) for i in good if any(m == top for m, _ in marks[i])}
+        length: dict[tuple, int] = {}
+        links: dict[tuple, int] = {}
+        for b in blocks:
+            length[b.path] = length.get(b.path, 0) + len(b.text)
+            links[b.path] = links.get(b.path, 0) + b.links
+        keep |= {i for i, b in enumerate(blocks) if not chosen.isdisjoint(b.line) and (2 * links[b.path] <= length[b.path] or not HEADINGS.isdisjoint(b.path[-1:]))}
+    else:
+        inside = {blocks[i].path[:-1] for i in good}
+        keep |= {i for i in range(max(good[0] - 1, 0), good[-1] + 1) if blocks[i].path[:-1] in inside}
+    return "\n".join(blocks[i].text for i in sorted(keep))
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

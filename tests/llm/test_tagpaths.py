@@ -51,3 +51,12 @@ def test_driver_pages_keep_every_paragraph(spark):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         want = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", body)]
         assert r.text.split("\n") == [x for x in want if x]
+
+
+PARAGRAPH = "Some text of the article, with commas, and stops. It goes on, and on, for a while."
+
+
+def test_scores_choose_on_marked_pages_too():
+    text = f"<p>{PARAGRAPH}</p>" * 2
+    assert T.main_text(f"<article><h1>Title</h1>{text}<div><a href=x>Share this</a> <a href=y>Tweet it</a></div></article>") == "\n".join(["Title", PARAGRAPH, PARAGRAPH])
+    assert T.main_text(f"<div><div><article><p>Read on</p></article></div><section>{text}</section></div>").endswith("\n".join([PARAGRAPH, PARAGRAPH]))
