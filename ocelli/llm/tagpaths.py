@@ -5,11 +5,11 @@ elements.  For each path the text length and the punctuation of its blocks are
 aggregated and divided by the number of its blocks; links count against it.
 Both ratios are smoothed along the page and fused into one score for each path.
 Paths through elements that never hold the article (menus, footers, adverts,
-forms, comments, ...) have no score.
+comments, ...) have no score; nor has a form, unless it holds most of the page's.
 The paths over a share of the best score are the article's, where marks that an
 element may hold the article (its name, role or class) raise a path's score.
 Short blocks are filled in: all of the outermost marked elements that hold such a
-path, but for paths made of links;
+path, and of the element that holds several of them, but for paths made of links;
 where no element is marked, what lies between the paths under the same parents.
 
 Edge cases: null or empty html, or a page without content, gives an empty text;
@@ -33,9 +33,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object audio video canvas select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold the article.
-OUTSIDE = frozenset("head nav footer aside form button menu dialog fieldset input datalist".split())
+OUTSIDE = frozenset("head nav footer aside button menu dialog fieldset input datalist".split())
 #: Roles that never hold it.
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
+OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 #: Words in class or id that mark what surrounds an article.
 OUTSIDE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments commentlist
@@ -198,9 +198,25 @@ def path_scores(blocks: list[Block]) -> dict[tuple, float]:
     return {p: v / count[p] for p, v in total.items()}
 
 
+def without_forms(blocks: list[Block]) -> list[Block]:
+    """Drops the blocks of each form that doesn't hold half of the page's score."""
+    if not any("form" in b.path for b in blocks):
+        return blocks
+    score = path_scores(blocks)
+    whole, held = 0.0, {}
+    for b in blocks:
+        own = score[b.path] * len(b.text)
+        whole += own
+        for tag, n in zip(b.path, b.line):
+            if tag == "form":
+                held[n] = held.get(n, 0) + own
+    minor = {n for n, v in held.items() if v < 0.5 * whole}
+    return [b for b in blocks if minor.isdisjoint(b.line)]
+
+
 def main_text(page: str | None) -> str:
     # Where names alone rule out the whole page, they are no guide.
-    blocks = cut(page or "") or cut(page or "", by_words=False)
+    blocks = without_forms(cut(page or "")) or without_forms(cut(page or "", by_words=False))
     if not blocks:
         return ""
     plain = path_scores(blocks)
@@ -218,6 +234,15 @@ def main_text(page: str | None) -> str:
     top = max((m for i in good for m, _ in marks[i]), default=0)
     if top:
         chosen = {next(n for m, n in marks[i] if m == top) for i in good if any(m == top for m, _ in marks[i])}
+        if len(chosen) > 1:
+            # The innermost element that holds them all, unless it is the page.
+            lines = [next(b.line[: b.line.index(n)] for b in blocks if n in b.line) for n in chosen]
+            tags = next(b.path for b in blocks if b.line[: len(lines[0])] == lines[0])
+            depth = 0
+            while all(len(x) > depth and x[depth] == lines[0][depth] for x in lines):
+                depth += 1
+            if depth and tags[depth - 1] not in ("html", "body"):
+                chosen.add(lines[0][depth - 1])
         length: dict[tuple, int] = {}
         links: dict[tuple, int] = {}
         for b in blocks:

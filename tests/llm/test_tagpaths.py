@@ -60,3 +60,18 @@ def test_scores_choose_on_marked_pages_too():
     text = f"<p>{PARAGRAPH}</p>" * 2
     assert T.main_text(f"<article><h1>Title</h1>{text}<div><a href=x>Share this</a> <a href=y>Tweet it</a></div></article>") == "\n".join(["Title", PARAGRAPH, PARAGRAPH])
     assert T.main_text(f"<div><div><article><p>Read on</p></article></div><section>{text}</section></div>").endswith("\n".join([PARAGRAPH, PARAGRAPH]))
+
+
+def test_all_of_the_article_stays():
+    text = f"<p>{PARAGRAPH}</p>" * 3
+    want = "\n".join([PARAGRAPH] * 3)
+    assert T.main_text(f"<main><h1>Title</h1><p>Lead, here.</p><article>{text}</article></main>") == "Title\nLead, here.\n" + want
+    assert T.main_text(f"<div class=post><h1>Title</h1><div class=body>{text}</div></div>") == "Title\n" + want
+    assert T.main_text("<article><p>First part, of it.</p></article><article><p>Second part, of it.</p></article>") == "First part, of it.\nSecond part, of it."
+    assert T.main_text(f"<div><h1>Title</h1><article>{text}</article><article>{text}</article></div>") == "Title\n" + want + "\n" + want
+
+
+def test_a_form_around_the_page():
+    text = f"<p>{PARAGRAPH}</p>"
+    assert T.main_text(f"<form><div>{text}</div></form>") == T.main_text(f"<form><article>{text}</article></form>") == PARAGRAPH
+    assert T.main_text(f"<div>{text}{text}</div><form><p>Sign up, please.</p></form>") == PARAGRAPH + "\n" + PARAGRAPH
