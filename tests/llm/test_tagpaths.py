@@ -75,3 +75,115 @@ def test_a_form_around_the_page():
     text = f"<p>{PARAGRAPH}</p>"
     assert T.main_text(f"<form><div>{text}</div></form>") == T.main_text(f"<form><article>{text}</article></form>") == PARAGRAPH
     assert T.main_text(f"<div>{text}{text}</div><form><p>Sign up, please.</p></form>") == PARAGRAPH + "\n" + PARAGRAPH
+
+
+def test_markup_never_follows_a_script():
+    assert T.main_text('<article><p>One.</p><script>var s="<!--";</script><p>Two.</p></article><footer>F</footer>') == "One.\nTwo."
+    assert T.main_text("<article><script>for(i=0;i<n;i++){} // don't</script><p>Alpha.</p><p>It's fine, here.</p></article>") == "Alpha.\nIt's fine, here."
+    assert T.main_text('<article><p>A, b.</p><style>a{content:"<p>"}</style><textarea><p>no</textarea><p>C, d.</p></article>') == "A, b.\nC, d."
+
+
+TWICE = f"<h1>Title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+PLAIN = f"Title\n{PARAGRAPH}\n{PARAGRAPH}"
+
+
+def test_a_name_alone_drops_nothing_of_the_article():
+    for inner in ('<section class="discussion"><p>{}</p></section>', '<div class="related-work"><p>{}</p></div>', '<p class="alert">{}</p>'):
+        assert T.main_text(f"<article>{TWICE}{inner.format('Own. ' + PARAGRAPH)}</article>") == f"{PLAIN}\nOwn. {PARAGRAPH}"
+    assert T.main_text(f'<article>{TWICE}<div class="ad">Buy it now.</div><p class="share">Share it, here</p></article>') == PLAIN
+
+
+def test_comment_lists_by_their_shape():
+    unit = '<div class="x{}"><span class="u">{}</span> <time>today</time><p>Nice one, I think. Really, good work here, as I said before.</p></div>'
+    units = f'<div class="q">{unit.format(1, "Ann")}{unit.format(1, "Bob")}</div>'
+    for page in (f"<article>{TWICE}{units}</article>", f"<article>{TWICE}</article>{units}", f"<div>{TWICE}</div>{units}"):
+        assert T.main_text(page) == PLAIN
+    # Alike parts with headings, or without an author or a time, are an article's own.
+    parts = "".join(f'<section class="s"><h2>Part {k}</h2><time>now</time><p>{PARAGRAPH}</p></section>' for k in range(2))
+    assert T.main_text(f"<article>{parts}</article>").count(PARAGRAPH) == 2
+    assert T.main_text(f'<article>{TWICE}<div class="s"><p>One, two.</p></div><div class="s"><p>Three, four.</p></div></article>') == PLAIN + "\nOne, two.\nThree, four."
+
+
+def brute_paths(page):
+    """Text blocks, and those whose path's smoothed ratio is over the threshold: another parser and plain loops, no names and no marks."""
+    import html.parser
+    import math
+    import re
+
+    class P(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.up, self.out, self.fresh, self.link = [], [], True, 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.link += 1
+            elif tag == "br":
+                self.handle_data(" ")
+            elif tag not in ("b", "meta"):
+                if self.up and self.up[-1] in ("p", "h1"):
+                    self.up.pop()
+                self.up.append(tag)
+                self.fresh = True
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.link -= 1
+            elif tag not in ("b", "br"):
+                if tag in self.up:
+                    while self.up.pop() != tag:
+                        pass
+                self.fresh = True
+
+        def handle_data(self, text):
+            if {"head", "nav", "footer", "script", "style", "title"} & set(self.up) or self.fresh and not text.strip():
+                return
+            if self.fresh:
+                self.out.append([tuple(self.up), "", 0])
+                self.fresh = False
+            self.out[-1][1] += text
+            self.out[-1][2] += len(text) * (self.link > 0)
+
+    p = P()
+    p.feed(page)
+    blocks = [(path, " ".join(text.split()), links) for path, text, links in p.out if text.strip()]
+    stat = {}
+    for path in {b[0] for b in blocks}:
+        own = [b for b in blocks if b[0] == path]
+        stat[path] = (
+            math.log1p(sum(max(0, len(t) - 1.5 * k) for _, t, k in own) / len(own)),
+            math.log1p(sum(len(re.findall(r"[,.;:!?…。，、！？；：]", t)) for _, t, k in own if len(t) > 1.5 * k) / len(own)),
+        )
+    seen = [stat[b[0]] for b in blocks]
+    sums = {}
+    for i, b in enumerate(blocks):
+        a, c = seen[max(i - 1, 0)], seen[min(i + 1, len(seen) - 1)]
+        text, marks = (0.25 * a[k] + 0.5 * seen[i][k] + 0.25 * c[k] for k in (0, 1))
+        sums.setdefault(b[0], []).append(text * (1 + marks))
+    score = {path: sum(v) / len(v) for path, v in sums.items()}
+    return blocks, score
+
+
+def test_ratios_match_brute_force_and_choose_with_and_without_marks():
+    import re
+
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        plain = re.sub(r"<(/?)article>", r"<\1div>", r["html"])
+        assert T.main_text(plain) == T.main_text(r["html"])  # the mark isn't what decides
+        blocks, score = brute_paths(re.sub(r' class="ad"', "", plain))
+        own, _ = T.cut(re.sub(r' class="ad"', "", plain))
+        assert [(b.path, b.text) for b in own] == [b[:2] for b in blocks]
+        ours = T.path_scores(own)
+        assert {p: round(v, 9) for (p, _), v in ours.items()} == {p: round(v, 9) for p, v in score.items()}
+        best = max(score.values())
+        chosen = [t for p, t, _ in blocks if score[p] >= T.THRESHOLD * best and p[-1] == "p"]
+        assert not [t for t in chosen if t not in T.main_text(plain).split("\n")]
+
+
+def test_odd_rows_with_clashing_names(odd, none):
+    out = T.extract(odd, "doc_id", "source", "text")
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == odd.count()
+    assert {r.n_chars for r in out.filter("text = ''").collect()} == {0}
+    assert T.extract(none, "doc_id", "source", "text").collect() == []
