@@ -91,3 +91,66 @@ def test_components(spark):
     assert len(rows) == len(label)
     assert {label[k] for k in (4, 5, 6, 7, 8)} == {4} and {label[k] for k in (1, 2, 3)} == {1}
     assert {label[k] for k in range(100, 161)} == {100}
+
+
+def crowd_rows(n, pendants, chain, seed=6):
+    """Near copies of one text, texts that hang on only one of them, and a chain that leads away from it, shuffled."""
+    r = np.random.default_rng(seed)
+    base, rows = prose(5000, 200).split(), []
+
+    def changed(words, k):
+        out = list(words)
+        for at in r.choice(len(out), k, replace=False):
+            out[at] = f"x{r.integers(0, 10**9)}"
+        return out
+
+    for _ in range(n):
+        rows.append(changed(base, int(r.choice([1, 2, 3, 5]))))
+    for _ in range(pendants):
+        rows.append(changed(rows[int(r.integers(0, n))], int(r.choice([3, 4, 5]))))
+    at = rows[0]
+    for _ in range(chain):
+        at = changed(at, 4)
+        rows.append(at)
+    order = r.permutation(len(rows))
+    return [(int(7 * k + 3), " ".join(rows[i])) for k, i in enumerate(order)]
+
+
+def by_matrix(rows, width, percent):
+    """As ``brute``, by a matrix of the shingles that rows share.
+    sets = [{" ".join(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.split() for _, t in rows)]
+    count = defaultdict(int)
+    for s in sets:
+        for x in s:
+            count[x] += 1
+    place = {x: k for k, x in enumerate(x for x, c in count.items() if c > 1)}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [place[x] for x in s if x in place]] = 1
+    size = np.array([len(s) for s in sets])
+    common = m @ m.T
+    a, b = np.nonzero(100 * common >= percent * (size[:, None] + size - common))
+    low = np.array([i for i, _ in rows])
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        if (new == low).all():
+            return sorted(((i, len(s), int(c)) for (i, _), s, c in zip(rows, sets, low)), key=repr)
+        low = new
+
+
+def test_block_keys_and_bounds():
+    label = np.zeros((5000, forest.LABEL), np.uint8)
+    label[:, 4] = np.random.default_rng(1).integers(0, 40, 5000)
+    label = label[np.argsort(label[:, 4], kind="stable")]
+    pieces = list(forest._packed(label, np.arange(5000), 3))
+    assert max(map(len, pieces)) <= forest.BLOCK_NODES and set(np.concatenate(pieces)) == set(range(5000))
+    keys = {int(forest._block_key(5, np.int32(t), k)) for t in range(forest.TREES) for k in range(200)}
+    assert len(keys) == forest.TREES * 200  # trees don't share blocks
+
+
+@pytest.mark.parametrize("n,pendants,chain", [(1200, 500, 300), (0 + 200, 900, 100)])
+def test_crowds_lose_no_link(spark, tmp_path, n, pendants, chain):
+    rows = crowd_rows(n, pendants, chain)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/d")
+    assert got(forest.report(spark.read.parquet(f"{tmp_path}/d"), 3, 85)) == by_matrix(rows, 3, 85)
