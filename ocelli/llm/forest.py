@@ -208,11 +208,7 @@ def _grower(least: int, least_depth: int):
         open_ = size > REGION
         open_[0] = open_[-1] = True
         for f, m in zip(first[open_], size[open_]):
-            name = np.concatenate((tree[f : f + 1].astype(np.uint64), label[f, :least_depth].astype(np.uint64)))
-            key = np.uint64(0)
-            for v in name:
-                key = mix64(np.array([key + v], np.uint64))[0]
-            own = -1 - int(key >> np.uint64(2))
+            own = -1 - int.from_bytes(bytes([tree[f], *label[f, :least_depth]]), "big")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 1, np.int32)), pa.array(np.full(m, own)), pa.array(node[f : f + m]), pa.array(np.full(m, piece))], _FOUND)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if not len(a):
@@ -416,6 +412,9 @@ def _completed(spark, label: DataFrame, crowd: DataFrame, nodes: DataFrame, text
     inside = written(inside.join(nodes.select("node", "n_shingles"), "node"), "forest-crowds")
     sizes = inside.groupBy("crowd", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("crowd").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    main = written(main, "forest-main")
+    if main.isEmpty():
+        return label
     members = inside.join(main.select("crowd", "main"), "crowd").select("crowd", "node", "label", (F.col("label") != F.col("main")).alias("odd"), "n_shingles")
     shipped = texts.select(F.col("rid").alias("node"), "text").join(members, "node").select("crowd", "node", "label", "odd", "n_shingles", "text")
     order = shipped.repartitionByRange(parts(spark), "crowd", "n_shingles", "node").sortWithinPartitions("crowd", "n_shingles", "node").drop("n_shingles")
@@ -469,12 +468,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     dealt = shipped.repartition(parts(spark), "block").sortWithinPartitions("block", "node")
     links = dealt.mapInArrow(_verifier(width, percent), "a long, b long")
     label = written(components(links), "forest-labels")
-    cut = found.filter("kind = 1").groupBy("centre").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("apart")).filter(f"n > {REGION} or apart")
-    open_ = found.filter("kind = 1").join(cut.select("centre"), "centre", "left_semi").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    # Regions at the edge of a task's share may turn out whole; then their stragglers are few.
+    open_ = found.filter("kind = 1").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     open_ = open_.unionByName(placed.filter("large").select(F.col("label").alias("a"), F.col("node").alias("b")))
-    crowd = components(open_).filter("node >= 0").withColumnRenamed("label", "crowd")
-    if not crowd.isEmpty():
-        label = _completed(spark, label, crowd, nodes, texts, width, percent)
+    label = _completed(spark, label, components(open_).filter("node >= 0").withColumnRenamed("label", "crowd"), nodes, texts, width, percent)
     whole = nodes.select("s1", "s2", "n_shingles", "node", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = written(whole, "forest-whole")
     lowest = whole.groupBy("label").agg(F.min("low").alias("head"))
