@@ -73,9 +73,9 @@ def box_from_geocoder(values: Column) -> Column:
 def box_problem(b: Column) -> Column:
     """``ok``, or what is wrong with a box."""
     return (
-        F.when((b["max_lat"] <= b["min_lat"]) | (b["max_lon"] <= b["min_lon"]), "bbox_invalid_order")
+        F.when(b["min_lat"].isNull() | b["max_lat"].isNull() | b["min_lon"].isNull() | b["max_lon"].isNull(), "bbox_missing_keys")
+        .when((b["max_lat"] <= b["min_lat"]) | (b["max_lon"] <= b["min_lon"]), "bbox_invalid_order")
         .when(~(valid(b["min_lat"], b["min_lon"]) & valid(b["max_lat"], b["max_lon"])), "bbox_coordinate_out_of_range")
-        .when(b["min_lat"].isNull() | b["max_lat"].isNull() | b["min_lon"].isNull() | b["max_lon"].isNull(), "bbox_missing_keys")
         .otherwise("ok")
     )
 

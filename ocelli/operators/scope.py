@@ -128,7 +128,7 @@ def with_context(query: Column, parts: list[Column]) -> Column:
     out = F.trim(text(query))
     for p in parts:
         v = F.trim(text(p))
-        out = F.when((v != "") & ~F.lower(out).contains(F.lower(v)), F.concat(out, F.lit(", "), v)).otherwise(out)
+        out = F.when((v != "") & ~F.lower(out).contains(F.lower(v)), F.concat(out, F.when(out != "", ", ").otherwise(""), v)).otherwise(out)
     return F.substring(out, 1, 300)
 
 
