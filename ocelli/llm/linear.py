@@ -21,6 +21,8 @@ from .textops import BLANKS, END, SPACE, blocks, buffers, canonical, hash_spans,
 
 #: Labelled rows that a model is fitted on, at most; chosen by the hash of their id.
 SAMPLE = 6000
+#: Features of one sampled row that reach the driver, at most.
+ROW_HASHES = 1 << 13
 #: Hashed features of one model, at most.
 SELECTED = 320
 DENSE = ("log_words", "word_length", "upper", "digits", "signs", "bars", "repeated")
@@ -99,7 +101,7 @@ def _sampler(labels: list[str]):
                 h, of, dense = featured(raw, offs[i : j + 1])
                 both = np.unique((of.astype(np.uint64) << np.uint64(32)) | h)
                 cut = np.searchsorted(both >> np.uint64(32), np.arange(j - i + 1))
-                blobs = [both[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]
+                blobs = [both[a : min(b, a + ROW_HASHES)].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]
                 figures = [row.tobytes() for row in dense]
                 own = [batch.column(2 + k)[i:j] for k in range(len(labels))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(blobs, pa.binary()), pa.array(figures, pa.binary()), *own], ["id", "hashes", "dense", *labels])
@@ -108,13 +110,15 @@ def _sampler(labels: list[str]):
 
 
 def sample(docs: DataFrame, labels: DataFrame, names: list[str], limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Rows:
-    """Features of at most ``limit`` labelled rows; rows with a null id or label are not labelled."""
+    """Features of at most ``limit`` labelled rows; rows with a null id or label are not labelled, and of rows that share an id the smallest text counts."""
     own = labels.select(F.col(id_col).cast("long").alias("_id"), *[F.col(c).cast("int").alias(f"_l{k}") for k, c in enumerate(names)]).dropna()
+    own = own.groupBy("_id").agg(*[F.max(f"_l{k}").alias(f"_l{k}") for k in range(len(names))])
     few = own.orderBy(F.md5(F.col("_id").cast("string")), *own.columns).limit(limit)
     # No more than ``limit`` short rows are broadcast.
     both = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
     cols = [f"_l{k}" for k in range(len(names))]
     schema = "id long, hashes binary, dense binary, " + ", ".join(f"{c} int" for c in cols)
+    both = both.groupBy("_id", *cols).agg(F.min("_text").alias("_text"))
     got = both.select("_id", "_text", *cols).mapInArrow(_sampler(cols), schema).toArrow().sort_by("id")
     blobs = got.column("hashes").to_pylist()
     return Rows(

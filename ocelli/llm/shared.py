@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables of this process, in the order in which they were written.
+_MADE: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that ``spark.checkpoint.dir`` or the context's checkpoint directory names.
+
+    Without either, a local master gets a folder of its own; a cluster is refused,
+    as its executors would write to disks that others can't read.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="ocelli-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = "file://" + own
@@ -26,10 +38,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when it ends, the scratch tables that operators wrote within; what they returned has to be stored by then."""
+    began = len(_MADE)
+    try:
+        yield
+    finally:
+        paths, _MADE[began:] = _MADE[began:], []
+        _deleted(spark, paths)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, ``written``; the scratch tables that it took are deleted."""
+    began = len(_MADE)
+    out = written(make(), name)
+    paths, _MADE[began:] = _MADE[began:-1], _MADE[-1:]
+    _deleted(spark, paths)
+    return out
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` written once, with a row number under a name that no column has.
 

@@ -6,13 +6,14 @@ come from out-of-fold predictions, so later models see earlier ones as they
 behave on unknown texts.  A category's threshold is the one of best F1 among its
 out-of-fold predictions, kept within 0.3 and 0.7.
 
-The labels table knows ``quality`` and ``toxic``.  The chain of the query is
-``low_quality`` (which tells insults from mere noise), ``toxic``, and ``severe``:
-toxic rows whose out-of-fold log odds are at or over the median of toxic rows.
+The categories of the query are those that the labels table knows: ``low_quality``
+(which tells insults from mere noise) and then ``toxic``.  ``fit_chain`` takes any
+number of them.
 
 Edge cases: a null or empty text gets the model's constant; rows with null
 labels don't train; without two classes a category has its base rate; ids may be
-null or repeat.
+null or repeat, and columns of other names are not read.  Labels that repeat an id
+count as the larger one.
 """
 
 from __future__ import annotations
@@ -92,19 +93,11 @@ def state(model: Model) -> dict:
 def score(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, a probability ``p_<category>`` and a flag for each category, for each row of ``docs``."""
     rows = sample(docs, labels, ["quality", "toxic"], limit, id_col, text_col)
-    toxic = rows.labels["toxic"]
-
-    def severe(chain: Chain) -> np.ndarray:
-        p = chain.folded[-1]
-        return toxic * (p >= np.median(p[toxic > 0])) if toxic.any() else toxic
-
-    chain = fit_chain(rows, [("low_quality", 1 - rows.labels["quality"]), ("toxic", toxic), ("severe", severe)])
+    chain = fit_chain(rows, [("low_quality", 1 - rows.labels["quality"]), ("toxic", rows.labels["toxic"])])
     shared = docs.sparkSession.sparkContext.broadcast([state(m) for m in chain.models])
     fields = ["doc_id", *[f"p_{n}" for n in chain.names]]
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in fields[1:])
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = own.mapInArrow(_scorer(shared, fields), schema)
-    flags = {n: F.col(f"p_{n}") >= t for n, t in zip(chain.names, chain.thresholds)}
-    # A later category never holds without the one that it refines.
-    flags["severe"] = flags["severe"] & flags["toxic"]
-    return out.select("doc_id", *[F.round(c, 9).alias(c) for c in fields[1:]], flags["toxic"].alias("toxic"), flags["severe"].alias("severe"))
+    flags = [(F.col(f"p_{n}") >= t).alias(n) for n, t in zip(chain.names, chain.thresholds)]
+    return out.select("doc_id", *[F.round(c, 9).alias(c) for c in fields[1:]], *flags)

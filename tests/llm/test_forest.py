@@ -117,7 +117,7 @@ def crowd_rows(n, pendants, chain, seed=6):
 
 
 def by_matrix(rows, width, percent):
-    """As ``brute``, by a matrix of the shingles that rows share.
+    """As ``brute``, by a matrix of the shingles that rows share."""
     sets = [{" ".join(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.split() for _, t in rows)]
     count = defaultdict(int)
     for s in sets:

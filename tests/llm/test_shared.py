@@ -71,3 +71,29 @@ def test_good_rows(spark, docs, monkeypatch):
     out = sitequality.keep_good(df, labels)
     other_splits(spark)
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 60, 3))
+
+
+def test_scratch_goes_with_its_scope(spark, docs):
+    import os
+
+    before = len(shared._MADE)
+    with shared.scratch(spark):
+        kept = shared.written(docs[1], "some").count()
+        path = shared._MADE[-1].removeprefix("file:").replace("///", "/")
+        path = "/" + path.lstrip("/")
+        assert kept == 60 and os.path.isdir(path)
+    assert len(shared._MADE) == before and not os.path.exists(path)
+    out = shared.settled(spark, lambda: shared.written(docs[1], "inner").filter("doc_id > 3"), "outer")
+    assert len(shared._MADE) == before + 1 and out.count() == 56
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *a: None)
+    context = lambda master, folder=None: N(master=master, getConf=lambda: conf, getCheckpointDir=lambda: folder)
+    with pytest.raises(ValueError):
+        shared.shared_folder(N(conf=conf, sparkContext=context("spark://h:7077")))
+    with pytest.raises(ValueError):
+        shared.shared_folder(N(conf=conf, sparkContext=context("local-cluster[2,1,1024]")))
+    assert shared.shared_folder(N(conf=conf, sparkContext=context("yarn", "hdfs:///c/x"))) == "hdfs:///c/x"
