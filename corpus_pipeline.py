@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ocelli.llm import decontaminate, fairqueue, forest, secretscan, sitequality
-from ocelli.llm.shared import table, written
+from ocelli.llm.shared import settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all stages keep, as the last one returns them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
 
 
