@@ -216,14 +216,13 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH p AS (SELECT s_suppkey, ({POINT['lat']})::DOUBLE AS lat, ({POINT['lon']})::DOUBLE AS lon FROM supplier), a AS (SELECT *, power(sin(radians(38.9 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(38.9)) * power(sin(radians(-77.03 - lon) / 2), 2) AS a FROM p) "
-    "SELECT s_suppkey, round(2 * 6371.0088 * atan2(sqrt(a), sqrt(1 - a)), 6) AS km, lat BETWEEN -30 AND 30 AND lon BETWEEN -90 AND 90 AS in_box, (lat BETWEEN -60 AND 60 AND lon BETWEEN -60 AND 60 AND NOT (lat BETWEEN -20 AND 20 AND lon BETWEEN -20 AND 20)) AS in_shape FROM a WHERE abs(abs(lat) - 60) > 0.01 AND abs(abs(lon) - 60) > 0.01 AND abs(abs(lat) - 20) > 0.01 AND abs(abs(lon) - 20) > 0.01"
+    "SELECT s_suppkey, round(2 * 6371.0088 * atan2(sqrt(a), sqrt(1 - a)), 6) AS km, lat BETWEEN -30 AND 30 AND lon BETWEEN -90 AND 90 AS in_box, (lat BETWEEN -60 AND 60 AND lon BETWEEN -60 AND 60 AND NOT (lat BETWEEN -20 AND 20 AND lon BETWEEN -20 AND 20)) AS in_shape FROM a"
 )
 def points_in_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Distances, and even-odd tests against a box and a polygon with a hole (points on edges left out)."""
+    """Distances, and even-odd tests against a box and a polygon with a hole: of its edges, the lower ones are inside."""
     lat, lon = F.col("lat"), F.col("lon")
-    edge = F.least(*[F.abs(F.abs(c) - e) for c in (lat, lon) for e in (20, 60)]) > 0.01
     shape = F.from_json(F.lit('[[[{"lon":-60,"lat":-60},{"lon":60,"lat":-60},{"lon":60,"lat":60},{"lon":-60,"lat":60}],[{"lon":-20,"lat":-20},{"lon":20,"lat":-20},{"lon":20,"lat":20},{"lon":-20,"lat":20}]]]'), scope.POLYGONS)
-    return points(spark, d).filter(edge).select("s_suppkey", F.round(G.haversine_km(lat, lon, F.lit(38.9), F.lit(-77.03)), 6).alias("km"), G.in_box(lat, lon, G.box(-30, 30, -90, 90)).alias("in_box"), G.in_polygons(lat, lon, shape).alias("in_shape"))
+    return points(spark, d).select("s_suppkey", F.round(G.haversine_km(lat, lon, F.lit(38.9), F.lit(-77.03)), 6).alias("km"), G.in_box(lat, lon, G.box(-30, 30, -90, 90)).alias("in_box"), G.in_polygons(lat, lon, shape).alias("in_shape"))
 
 
 BOX = {"a": "c_custkey % 100 - 50.0", "h": "(c_custkey % 7) * 0.4 - 0.2", "b": "c_custkey % 200 - 100.0", "w": "(c_custkey % 11) * 0.3 - 0.1"}
@@ -243,12 +242,10 @@ def box_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {CAM_SQL}, s AS (SELECT *, lat IS NOT NULL AND lon IS NOT NULL AS l FROM cam) SELECT _ord, CASE WHEN NOT l THEN 'unknown' WHEN target_id = 't0' THEN CASE WHEN lat BETWEEN -30 AND 30 AND lon BETWEEN -90 AND 90 THEN 'in_scope' ELSE 'out_of_scope' END "
-    "WHEN target_id = 't1' THEN CASE WHEN lat BETWEEN -60 AND 60 AND lon BETWEEN -60 AND 60 AND NOT (lat BETWEEN -20 AND 20 AND lon BETWEEN -20 AND 20) THEN 'in_scope' ELSE 'out_of_scope' END ELSE 'review' END AS scope FROM s "
-    "WHERE NOT l OR (abs(abs(lat) - 60) > 0.01 AND abs(abs(lon) - 60) > 0.01 AND abs(abs(lat) - 20) > 0.01 AND abs(abs(lon) - 20) > 0.01)"
+    "WHEN target_id = 't1' THEN CASE WHEN lat BETWEEN -60 AND 60 AND lon BETWEEN -60 AND 60 AND NOT (lat BETWEEN -20 AND 20 AND lon BETWEEN -20 AND 20) THEN 'in_scope' ELSE 'out_of_scope' END ELSE 'review' END AS scope FROM s"
 )
 def scoped_candidates(spark: SparkSession, d: str) -> DataFrame:
-    edge = F.coalesce(F.least(*[F.abs(F.abs(c) - e) for c in (F.col("lat"), F.col("lon")) for e in (20, 60)]) > 0.01, F.lit(True))
-    out = scope.scoped(cams(spark, d).filter(edge), target_rows(spark))
+    out = scope.scoped(cams(spark, d), target_rows(spark))
     return out.select("_ord", F.col("scope_status").alias("scope"))
 
 
@@ -379,8 +376,8 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CAM_SQL}, x AS (SELECT lower(stream_url) AS x FROM cam), f AS (SELECT unnest([" + ", ".join(f"CASE WHEN contains(x, '{v.lower()}') THEN '{f}' END" for f, _, v, _ in E.SIGNATURES) + "]) AS f FROM x) SELECT f AS family, count(*)::BIGINT AS n FROM f WHERE f IS NOT NULL GROUP BY f")
 def signature_families(spark: SparkSession, d: str) -> DataFrame:
-    found = E.signatures(E.haystack(F.col("stream_url")))
-    return cams(spark, d).select(F.explode(found).alias("s")).groupBy(F.col("s.signature_family").alias("family")).agg(F.count("*").alias("n"))
+    rows = cams(spark, d).withColumn("hay", E.haystack(F.col("stream_url")))
+    return rows.select(F.explode(E.signatures(F.col("hay"))).alias("s")).groupBy(F.col("s.signature_family").alias("family")).agg(F.count("*").alias("n"))
 
 
 @query(

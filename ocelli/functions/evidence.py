@@ -111,16 +111,27 @@ def haystack(*cols: Column, metadata: Column | None = None) -> Column:
     return F.lower(F.concat_ws("\n", *parts))
 
 
-def signatures(low: Column) -> Column:
-    """Matching signatures and vendor hints of a lower-case text, in their order: an array of structs."""
+def _quoted(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _signature_table() -> str:
+    """All signatures and vendor hints, with what each looks for, as one constant array in SQL."""
+    rows = [(v.lower(), f, n, v, c, WEIGHTS.get(c, 4)) for f, n, v, c in SIGNATURES] + [(v, "vendor_hint", f"{v}_vendor_hint", v, "low", 4) for v in VENDORS]
+    one = "named_struct('needle', {}, 'signature_family', {}, 'signature_name', {}, 'matched_value', {}, 'confidence', {}, 'weight', {})"
+    return "array(" + ", ".join(one.format(*map(_quoted, r[:-1]), r[-1]) for r in rows) + ")"
 
-    def s(family: str, name: str, value: str, confidence: str, weight: int) -> Column:
-        fields = {"signature_family": family, "signature_name": name, "matched_value": value, "confidence": confidence}
-        return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], F.lit(weight).alias("weight"))
 
-    known = [F.when(low.contains(v.lower()), s(f, n, v, c, WEIGHTS.get(c, 4))) for f, n, v, c in SIGNATURES]
-    vendor = [F.when(low.contains(v), s("vendor_hint", f"{v}_vendor_hint", v, "low", 4)) for v in VENDORS]
-    return F.filter(F.array(*known, *vendor), lambda x: x.isNotNull())
+def signatures(low: Column) -> Column:
+    """Matching signatures and vendor hints of a lower-case text, in their order: an array of structs.
+
+    The table is one constant, so neither plan nor generated code grows with it.
+    ``low`` is read once for each entry, so it has to be a column; it stands twice here,
+    and what stands twice isn't written out by the optimizer.
+    """
+    table = F.expr(_signature_table())
+    hits = F.when(low != "", F.filter(table, lambda x: low.contains(x["needle"]))).otherwise(F.slice(table, 1, 0))
+    return F.transform(hits, lambda x: x.dropFields("needle"))
 
 
 def signature_weight(matches: Column) -> Column:
@@ -145,7 +156,7 @@ def with_source_evidence(df: DataFrame, url: Column, title: Column, snippet: Col
         {
             "_s_low": low,
             "_s_kind": F.lower(text(content_type)),
-            "_s_found": signatures(haystack(url, title, snippet, content_type)),
+            "_s_hay": haystack(url, title, snippet, content_type),
             "_s_label": protocol(url, content_type)["protocol_label"],
             "_s_stopped": blocked.isNotNull(),
             "_s_url": text(url) != "",
@@ -157,6 +168,7 @@ def with_source_evidence(df: DataFrame, url: Column, title: Column, snippet: Col
     s = lambda k: F.col(f"_s_{k}")
     second = first.withColumns(
         {
+            "_s_found": signatures(F.col("_s_hay")),
             "_s_terms": present(*[(s("low").contains(t), t) for t in CAMERA_WORDS]),
             "_s_structured": any_term(s("low"), STRUCTURED_WORDS) | any_term(s("kind"), STRUCTURED_WORDS),
             "_s_direct": s("label").isin("hls", "rtsp", "mjpeg", "image_snapshot", "dash", "webrtc", "rtmp", "srt"),
@@ -222,7 +234,7 @@ def with_candidate_evidence(df: DataFrame, blocked: Column | None = None, out: s
     found = texts.withColumns(
         {
             "_e_protocol": protocol(F.col("_e_url"), content, of("media_type")),
-            "_e_found": signatures(haystack(F.col("_e_url"), text(F.col("source_url")), F.col("_e_title"), F.col("_e_place"), metadata=meta)),
+            "_e_hay": haystack(F.col("_e_url"), text(F.col("source_url")), F.col("_e_title"), F.col("_e_place"), metadata=meta),
             "_e_live": F.col("_e_status").isin(*LIVE),
             "_e_closed": ~F.col("_e_status").isin(*LIVE) & any_term(F.col("_e_status"), RESTRICTED_PARTS),
             "_e_gone": ~F.col("_e_status").isin(*LIVE) & any_term(F.col("_e_status"), DEAD_PARTS),
@@ -230,6 +242,7 @@ def with_candidate_evidence(df: DataFrame, blocked: Column | None = None, out: s
             "_e_reached": F.coalesce((code != 0) & (code < 400), F.lit(False)),
         }
     )
+    found = found.withColumn("_e_found", signatures(F.col("_e_hay")))
     e = lambda k: F.col(f"_e_{k}")
     label = F.col("_e_protocol.protocol_label")
     direct, weaker = label.isin("hls", "rtsp", "mjpeg", "image_snapshot"), label.isin("dash", "webrtc", "rtmp", "srt", "mp4")

@@ -7,6 +7,8 @@ window sees no more rows than the caps allow.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,38 +68,41 @@ def joint_budgets(df: DataFrame, total: int, by_provider: dict[str, int], per_ho
     """Rows admitted only while all budgets allow: total, provider, host, and not after ``failures`` failed pages of a host.
 
     A row uses up budget only if every budget lets it pass, so this is a fold
-    over the pages of one run.  ``df`` has ``run_id, _ord, provider, host,
-    failed`` (whether its capture failed); each run is folded on its own, its
-    candidates cut beforehand to those that could be admitted at all: the fold
-    ends at ``total`` and holds counters only.  Adds ``admitted`` and ``skip_reason``.
+    over the pages of one run, in order.  ``df`` has ``run_id, _ord, provider, host,
+    failed`` (whether its capture failed).  Runs are dealt to partitions and sorted
+    there; the fold reads them batch by batch and holds the counters of one run, no
+    more than ``total`` hosts among them.  Adds ``admitted`` and ``skip_reason``.
     """
 
-    def fold(pages: pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run: object = None
         counts: dict[str, int] = {}
         hosts: dict[str, int] = {}
         bad: dict[str, int] = {}
-        used, out = 0, []
-        for r in pages.sort_values("_ord").itertuples(index=False):
-            family = (r.provider or "").split(":", 1)[0]
-            reason = None
-            if used >= total:
-                reason = "global_browser_budget_exhausted"
-            elif counts.get(family, 0) >= by_provider.get(family, total):
-                reason = f"{family}_browser_budget_exhausted"
-            elif hosts.get(r.host, 0) >= per_host:
-                reason = "host_browser_budget_exhausted"
-            elif bad.get(r.host, 0) >= failures:
-                reason = "host_browser_cooldown"
-            if reason is None:
-                used += 1
-                counts[family] = counts.get(family, 0) + 1
-                hosts[r.host] = hosts.get(r.host, 0) + 1
-                bad[r.host] = bad.get(r.host, 0) + bool(r.failed)
-            out.append((reason is None, reason))
-        done = pages.sort_values("_ord").reset_index(drop=True)
-        done["admitted"], done["skip_reason"] = [a for a, _ in out], [b for _, b in out]
-        return done
+        used = 0
+        for frame in frames:
+            reasons = []
+            for key, provider, host, failed in zip(frame["run_id"], frame["provider"], frame["host"], frame["failed"]):
+                key = None if pd.isna(key) else key
+                if (key,) != run:
+                    run, counts, hosts, bad, used = (key,), {}, {}, {}, 0
+                family = (provider or "").split(":", 1)[0]
+                reason = None
+                if used >= total:
+                    reason = "global_browser_budget_exhausted"
+                elif counts.get(family, 0) >= by_provider.get(family, total):
+                    reason = f"{family}_browser_budget_exhausted"
+                elif hosts.get(host, 0) >= per_host:
+                    reason = "host_browser_budget_exhausted"
+                elif bad.get(host, 0) >= failures:
+                    reason = "host_browser_cooldown"
+                if reason is None:
+                    used += 1
+                    counts[family] = counts.get(family, 0) + 1
+                    hosts[host] = hosts.get(host, 0) + 1
+                    bad[host] = bad.get(host, 0) + bool(failed)
+                reasons.append(reason)
+            yield frame.assign(admitted=[r is None for r in reasons], skip_reason=reasons)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy("run_id").applyInPandas(fold, f"{schema}, admitted boolean, skip_reason string")
-
+    return df.repartition("run_id").sortWithinPartitions("run_id", "_ord").mapInPandas(fold, f"{schema}, admitted boolean, skip_reason string")

@@ -39,11 +39,18 @@ FILLED = (
 )
 
 
-def merged_map(maps: Column) -> Column:
-    """One map of many, in order: the first value of each key, empty ones skipped."""
-    entries = F.filter(F.flatten(F.transform(F.filter(maps, lambda m: m.isNotNull()), lambda m: F.map_entries(m))), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "[]", "{}"))
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+def _listed(rows: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
+    """``key`` and its values in order, from rows that are distinct by both."""
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]).alias(out))
+
+
+def _merged_maps(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``key`` and ``_map``: the first value of each entry by ``order``, empty ones skipped, entries in the order in which they came."""
+    entries = rows.select(key, F.col(order).alias("_at"), F.posexplode(F.map_entries("metadata")).alias("_k", "_e"))
+    entries = entries.filter(F.col("_e.value").isNotNull() & ~F.col("_e.value").isin("", "[]", "{}"))
+    first = entries.groupBy(key, F.col("_e.key").alias("_name")).agg(F.min(F.struct("_at", "_k", F.col("_e.value").alias("v"))).alias("_f"))
+    pairs = F.array_sort(F.collect_list(F.struct("_f._at", "_f._k", "_name", "_f.v")))
+    return first.groupBy(key).agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["_name"], x["v"]))).alias("_map"))
 
 
 def merge_harvest_records(df: DataFrame) -> DataFrame:
@@ -61,14 +68,13 @@ def merge_harvest_records(df: DataFrame) -> DataFrame:
         aggs.append((first_nonempty(c) if c in FILLED else F.min_by(F.struct(c), "_ord")[c]).alias(c))
     known = F.when(F.col("media_type") != "unknown_media", F.col("media_type"))
     aggs.append(F.coalesce(F.min_by(known, F.when(known.isNotNull(), F.col("_ord"))), F.lit("unknown_media")).alias("media_type"))
-    if "metadata" in df.columns:
-        aggs.append(F.transform(in_order(F.collect_list(F.struct("_ord", "metadata"))), lambda x: x["metadata"]).alias("_maps"))
-    aggs.append(F.array_sort(F.collect_list(F.when(text(F.col("source_url")) != "", F.struct("_ord", "source_url")))).alias("_sources"))
     out = rows.groupBy("_key").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord")
-    sources = F.array_distinct(F.transform(F.col("_sources"), lambda x: x["source_url"]))
-    out = out.withColumn("duplicate_sources", F.array_remove(sources, F.coalesce("source_url", F.lit("")))).drop("_sources")
+    # A popular URL may have any number of rows, but each source counts once: arrays hold what is distinct.
+    seen = rows.filter(text(F.col("source_url")) != "").groupBy("_key", F.col("source_url").alias("_source")).agg(F.min("_ord").alias("_at"))
+    out = out.join(_listed(seen, "_key", "_at", "_source", "_sources"), "_key", "left")
+    out = out.withColumn("duplicate_sources", F.array_remove(F.coalesce("_sources", F.array().cast("array<string>")), F.coalesce("source_url", F.lit("")))).drop("_sources")
     if "metadata" in df.columns:
-        out = out.withColumn("metadata", merged_map(F.col("_maps"))).drop("_maps")
+        out = out.join(_merged_maps(rows, "_key", "_ord"), "_key", "left").withColumn("metadata", F.coalesce("_map", F.create_map().cast("map<string,string>"))).drop("_map")
     return out.withColumnRenamed("_key", "url").select("_ord", *[c for c in df.columns if c != "_ord"], "duplicate_sources")
 
 
@@ -139,9 +145,9 @@ def merge_target_sets(df: DataFrame) -> DataFrame:
 def merge_search_rows(df: DataFrame) -> DataFrame:
     """One search result for each URL: engines in order of appearance, provider ``blind:multi`` for several, empty texts filled."""
     filled = [first_nonempty(c).alias(c) for c in ("title", "snippet", "query", "source_name") if c in df.columns]
-    seen = F.array_sort(F.collect_list(F.struct("_ord", "search_engine")))
-    out = df.groupBy("url").agg(F.min("_ord").alias("_ord"), F.min_by("source_provider", "_ord").alias("source_provider"), F.min_by("search_engine", "_ord").alias("search_engine"), seen.alias("_seen"), *filled)
-    out = out.withColumn("search_engines", F.array_distinct(F.filter(F.transform("_seen", lambda x: x["search_engine"]), lambda e: e.isNotNull() & (e != "")))).drop("_seen")
+    out = df.groupBy("url").agg(F.min("_ord").alias("_ord"), F.min_by("source_provider", "_ord").alias("source_provider"), F.min_by("search_engine", "_ord").alias("search_engine"), *filled)
+    seen = df.filter(text(F.col("search_engine")) != "").groupBy("url", F.col("search_engine").alias("_engine")).agg(F.min("_ord").alias("_at"))
+    out = out.join(_listed(seen, "url", "_at", "_engine", "search_engines"), "url", "left").withColumn("search_engines", F.coalesce("search_engines", F.array().cast("array<string>")))
     return out.withColumn("source_provider", F.when(F.size("search_engines") > 1, "blind:multi").otherwise(F.col("source_provider")))
 
 
@@ -151,11 +157,12 @@ def merge_endpoints(df: DataFrame) -> DataFrame:
     flags = ("has_coordinates", "has_timestamps", "has_service_status", "has_refresh_metadata")
     first = [c for c in df.columns if c not in (*most, *flags, "endpoint_url", "_ord", "metadata")]
     aggs = [*[F.max(c).alias(c) for c in most], *[F.bool_or(c).alias(c) for c in flags], *[F.min_by(F.struct(c), "_ord")[c].alias(c) for c in first]]
+    out = df.groupBy("endpoint_url").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord")
     if "metadata" in df.columns:
-        # Later values win: merge in reverse order.
-        maps = F.reverse(F.transform(in_order(F.collect_list(F.struct("_ord", "metadata"))), lambda x: x["metadata"]))
-        aggs.append(merged_map(maps).alias("metadata"))
-    return df.groupBy("endpoint_url").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord").select(*df.columns)
+        # Later values win: merged in reverse order.
+        maps = _merged_maps(df.withColumn("_back", -F.col("_ord")), "endpoint_url", "_back")
+        out = out.join(maps, "endpoint_url", "left").withColumn("metadata", F.coalesce("_map", F.create_map().cast("map<string,string>"))).drop("_map")
+    return out.select(*df.columns)
 
 
 def first_cameras(records: DataFrame) -> DataFrame:

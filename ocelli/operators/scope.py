@@ -16,21 +16,29 @@ from ..functions.text import any_term, distinct_ignoring_case, place_token, pres
 from .rank import location_slug
 
 FEW = 10_000
+FEW_POINTS = 2_000_000
 POLYGONS = "array<array<array<struct<lon:double,lat:double>>>>"
 TARGET = f"target_id string, target_index int, target_label string, canonical_target string, scope_type string, admin_region string, country string, place_name string, camera_type string, bbox struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>, polygons {POLYGONS}, bbox_verified boolean, trust_policy string"
 
 
+def few(targets: DataFrame) -> bool:
+    """Whether targets may be broadcast: few rows, and few points in their polygons (16 bytes each)."""
+    points = F.size(F.flatten(F.flatten("polygons"))) if "polygons" in targets.columns else F.lit(0)
+    size = targets.limit(FEW + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(points, F.lit(0))), F.lit(0)).alias("points")).first()
+    return size["n"] <= FEW and size["points"] <= FEW_POINTS
+
+
 def with_target(df: DataFrame, targets: DataFrame) -> DataFrame:
     """``df`` with its target's columns as ``t_...``; rows without a target keep nulls."""
-    small = targets.limit(FEW + 1).count() <= FEW
+    small = few(targets)
     own = targets.select(*[F.col(c).alias(f"t_{c}") for c in targets.columns])
     return df.join(F.broadcast(own) if small else own, df["target_id"] == own["t_target_id"], "left")
 
 
 def per_target(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every record for every target."""
+    """Every record for every target: as many rows as records times targets, which is what is asked for; filter records by their source first."""
     own = targets.select("target_id", "target_index", "target_label")
-    small = targets.limit(FEW + 1).count() <= FEW
+    small = few(own)
     # Each task meets all targets: the smaller side is the one that is sent around.
     return records.crossJoin(F.broadcast(own) if small else own)
 

@@ -84,9 +84,15 @@ def write_by_target(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("target_id").json(path)
 
 
+#: Lines of a list that is written as one file; longer ones are files in order.
+ONE_FILE = 1_000_000
+
+
 def write_text(lines: DataFrame, path: str, *order: str) -> None:
-    """Lines (``value``) in order, as one file: for lists that people and players read."""
-    lines.orderBy(*order).select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Lines (``value``) in order: one file for lists that people and players read, several in the order of their names beyond ``ONE_FILE`` lines."""
+    short = lines.limit(ONE_FILE + 1).count() <= ONE_FILE
+    done = lines.orderBy(*order).select("value")
+    (done.coalesce(1) if short else done).write.mode("overwrite").text(path)
 
 
 def write_json(spark, value: dict, path: str) -> None:
@@ -236,9 +242,16 @@ TEXT_ONLY = ("dead_or_restricted_media", "image_snapshots", "harvested_image_sna
 
 
 def eligible(df: DataFrame, rules: list[Rule], url: str = "stream_url") -> DataFrame:
-    """Rows with a URL that is neither blocked nor of a private host; the address test is Python, so it comes last."""
+    """Rows with a URL that is neither blocked nor of a private host.
+
+    Only names that may be an address or a local name are tested in Python, each once.
+    """
     open_ = df.filter((text(F.col(url)) != "") & block_reason(F.col(url), rules).isNull())
-    return open_.filter(~private_host(F.col(url)))
+    u, where = F.col(url), U.authority(F.col(url))
+    doubtful = U.host(u).rlike(r"^[0-9.]*$|(?:^|\.)(?:localhost|localdomain|local)\.?$") | ~where.rlike(r"^[A-Za-z0-9._~%!$&()*+,;=:@-]*$")
+    marked = open_.withColumn("_where", F.when(doubtful, F.when(where == "", u).otherwise(F.concat(F.lit("x://"), where))))
+    bad = marked.filter("_where IS NOT NULL").select("_where").distinct().filter(private_host(F.col("_where")))
+    return marked.join(bad, "_where", "left_anti").select(*df.columns)
 
 
 def playlist_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -111,8 +111,21 @@ def handoff_bounds(native: int, candidates: int, records: int, targets: int, art
         raise ValueError(f"{candidates} candidates of {records} records for {targets} targets")
 
 
+#: Rows of one bucket and score that are numbered together, by their order.
+SPAN = 1_000_000
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """Rows in priority order with ``rank`` within their target."""
-    w = Window.partitionBy("target_id").orderBy("priority_bucket", F.desc(F.coalesce("camera_evidence_score", F.lit(0))), "_ord")
-    return prioritized(df).withColumn("rank", F.row_number().over(w))
+    """Rows in priority order with ``rank`` within their target.
 
+    Targets are few and hot, so no window holds a whole one: rows are counted by
+    target, bucket, score and span of their order, and numbered within those.
+    """
+    rows = prioritized(df).withColumns({"_score": F.coalesce("camera_evidence_score", F.lit(0)), "_span": F.floor(F.col("_ord") / SPAN), "_target": F.coalesce("target_id", F.lit("\0"))})
+    cell = ("_target", "priority_bucket", "_score", "_span")
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    line = Window.partitionBy("_target").orderBy("priority_bucket", F.desc("_score"), "_span")
+    before = sizes.withColumn("_before", F.sum("_n").over(line) - F.col("_n")).drop("_n")
+    own = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_ord")))
+    done = own.join(before, list(cell)).withColumn("rank", (F.col("_rank") + F.col("_before")).cast("int"))
+    return done.drop("_score", "_span", "_target", "_rank", "_before")

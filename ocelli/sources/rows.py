@@ -16,6 +16,8 @@ from ..functions.text import any_term, distinct_ignoring_case, text
 from ..operators.merge import first_seen
 from ..operators.policy import Rule, block_reason, safe_query, unblocked
 
+#: Registry entries that are broadcast, at most.
+FEW = 10_000
 COLUMNS = ("query", "title", "url", "snippet", "source_provider", "source_kind", "source_name", "source_scope_hint", "source_notes")
 
 
@@ -58,7 +60,7 @@ def entry_rows(entries: DataFrame, targets: DataFrame, provider: str, rules: lis
     """Rows of enabled entries for each target: a site's directory pages before its root; first seen by URL."""
     own = unblocked(entries.filter("enabled AND url <> ''"), list(rules), "url")
     # Entries are a registry: the targets' side is the one that may be large.
-    both = targets.crossJoin(F.broadcast(own))
+    both = targets.crossJoin(F.broadcast(own) if own.limit(FEW + 1).count() <= FEW else own)
     pages = F.when(F.col("source_type") == "site", F.concat(F.filter(site_urls(F.col("url")), lambda u: u.startswith("http")), F.array("url"))).otherwise(F.array("url"))
     rows = both.select("target_id", "entry_ord", F.posexplode(pages).alias("page_ord", "page"), "name", "source_type", "scope_hint", "notes", F.coalesce("canonical_target", F.lit("")).alias("query"))
     rows = rows.select(
