@@ -270,7 +270,16 @@ def merged_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("_ord", "url", "media_type", "title", "description", "source_url", F.size("duplicate_sources").alias("duplicates"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {CAM_SQL}, r AS (SELECT *, regexp_replace(stream_url, '/cam/[0-9]+', '/cam') AS u, lat IS NOT NULL AS l, _ord % 4 = 0 AS s, CASE WHEN _ord % 4 = 0 THEN _ord::VARCHAR ELSE 'x' END AS cid FROM cam), n AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY _ord) AS n FROM r), "
+    "f AS (SELECT _ord, u, n, title, location_text, lat::DOUBLE AS lat, lon::DOUBLE AS lon, l, s, cid FROM n WHERE n = 1 UNION ALL "
+    # A located row takes the place of an unlocated one, or of an unstructured one if it is structured; its empty metadata is filled.
+    "SELECT f._ord, f.u, n.n, CASE WHEN n.l AND (NOT f.l OR n.s AND NOT f.s) THEN n.title WHEN n.title IS NOT NULL AND (f.title IS NULL OR n.s AND NOT f.s) THEN n.title ELSE f.title END, "
+    "CASE WHEN n.l AND (NOT f.l OR n.s AND NOT f.s) THEN n.location_text WHEN n.location_text IS NOT NULL AND (f.location_text IS NULL OR n.s AND NOT f.s) THEN n.location_text ELSE f.location_text END, "
+    "CASE WHEN n.l AND (NOT f.l OR n.s AND NOT f.s) THEN n.lat::DOUBLE ELSE f.lat END, CASE WHEN n.l AND (NOT f.l OR n.s AND NOT f.s) THEN n.lon::DOUBLE ELSE f.lon END, f.l OR n.l, f.s OR n.s, "
+    "CASE WHEN n.l AND (NOT f.l OR n.s AND NOT f.s) THEN n.cid WHEN n.s THEN n.cid ELSE f.cid END FROM f JOIN n ON n.u = f.u AND n.n = f.n + 1) "
+    "SELECT _ord, u AS stream_url, title, lat, lon, cid AS camera_id FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n DESC) AS back FROM f) WHERE back = 1"
+)
 def folded_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The order-dependent fold, with URLs of customers; tests hold it against a plain loop."""
     rows = cams(spark, d).withColumns({"stream_url": F.expr("regexp_replace(stream_url, '/cam/[0-9]+', '/cam')"), "metadata": F.when(F.col("_ord") % 4 == 0, F.create_map(F.lit("json_metadata_extracted"), F.lit("true"), F.lit("camera_id"), F.col("_ord").cast("string"))).otherwise(F.create_map(F.lit("camera_id"), F.lit("x")))})
@@ -317,7 +326,14 @@ def top_per_key(spark: SparkSession, d: str) -> DataFrame:
     return admit.per_key(t(spark, d, "orders"), ["o_custkey"], 3, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "o_custkey")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE p AS (SELECT page_id, page_id % 3 AS run_id, page_id % 2 = 0 AS blind, {HOST_SQL} AS host, page_id % 5 = 0 AS failed, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS n FROM pages), "
+    "f AS (SELECT run_id, 0::BIGINT AS n, 0 AS used, 0 AS b, 0 AS d, []::VARCHAR[] AS hosts, []::VARCHAR[] AS bad, NULL::BIGINT AS page_id, NULL::VARCHAR AS reason FROM (SELECT DISTINCT run_id FROM p) "
+    "UNION ALL SELECT run_id, n, used + ok, b + ok * blind::INTEGER, d + ok * (NOT blind)::INTEGER, CASE WHEN ok = 1 THEN list_append(hosts, host) ELSE hosts END, CASE WHEN ok = 1 AND failed THEN list_append(bad, host) ELSE bad END, page_id, reason FROM "
+    "(SELECT *, (reason IS NULL)::INTEGER AS ok FROM (SELECT p.run_id, p.n, f.used, f.b, f.d, f.hosts, f.bad, p.page_id, p.host, p.blind, p.failed, CASE WHEN used >= 20 THEN 'global_browser_budget_exhausted' WHEN p.blind AND b >= 6 THEN 'blind_browser_budget_exhausted' WHEN NOT p.blind AND d >= 12 THEN 'directory_browser_budget_exhausted' "
+    "WHEN len(list_filter(f.hosts, lambda x: x = p.host)) >= 3 THEN 'host_browser_budget_exhausted' WHEN len(list_filter(f.bad, lambda x: x = p.host)) >= 2 THEN 'host_browser_cooldown' END AS reason FROM f JOIN p ON p.run_id = f.run_id AND p.n = f.n + 1))) "
+    "SELECT p.page_id AS _ord, p.run_id, CASE WHEN p.blind THEN 'blind:ddg' ELSE 'directory' END AS provider, p.host, p.failed, f.reason IS NULL AS admitted, f.reason AS skip_reason FROM p JOIN f USING (page_id)"
+)
 def page_budgets(spark: SparkSession, d: str) -> DataFrame:
     """Joint budgets of runs of pages; tests hold it against a plain loop."""
     rows = t(spark, d, "pages").select(F.col("page_id").alias("_ord"), (F.col("page_id") % 3).alias("run_id"), F.when(F.col("page_id") % 2 == 0, "blind:ddg").otherwise("directory").alias("provider"), U.host(F.col("url")).alias("host"), (F.col("page_id") % 5 == 0).alias("failed"))
@@ -528,7 +544,7 @@ def run_candidates(spark: SparkSession, d: str) -> DataFrame:
     return extract.run_candidates(payloads(spark, d)).filter("discovery_method = 'json_endpoint'").select("url", "media_type", "lat", "camera_id")
 
 
-@query()
+@query("SELECT (page_id * 2 + 1) * 4000000 AS _ord, 'https://m.example/' || page_id || '.m3u8' AS url, 'hls' AS media_type, NULL::VARCHAR AS title, 'C' || page_id AS camera_id, (page_id % 90)::DOUBLE AS lat, (page_id % 180)::DOUBLE AS lon, 'streaming_video' AS asset_role, 0::INTEGER AS duplicates FROM pages")
 def harvested_urls(spark: SparkSession, d: str) -> DataFrame:
     from .plans.harvest import HarvestConfig, harvest
 
@@ -536,14 +552,20 @@ def harvested_urls(spark: SparkSession, d: str) -> DataFrame:
     return h.records.select("_ord", "url", "media_type", "title", "camera_id", "lat", "lon", "asset_role", F.size("duplicate_sources").alias("duplicates"))
 
 
-@query()
+@query("SELECT 'https://api.example/q/' || page_id AS endpoint_url, 5::BIGINT AS record_count, 'directory' AS source_provider, 'src' AS source_name, 'static' AS first_seen_method, url AS source_page_url, 1::BIGINT AS camera_record_count, 1::BIGINT AS media_asset_count, true AS has_coordinates, false AS has_timestamps, true AS has_service_status, false AS has_refresh_metadata, page_id * 2 + 1 AS _ord, 'json' AS endpoint_type FROM pages")
 def harvest_endpoints(spark: SparkSession, d: str) -> DataFrame:
     from .plans.harvest import harvest
 
     return harvest(payloads(spark, d)).endpoints.drop("metadata")
 
 
-@query()
+@query(
+    "WITH c AS (SELECT page_id, 't' || ((page_id * 2 + 1) % 3) AS target_id, page_id % 90 AS lat, page_id % 180 AS lon FROM pages), "
+    "s AS (SELECT *, CASE target_id WHEN 't0' THEN CASE WHEN lat <= 30 AND lon <= 90 THEN 'in_scope' ELSE 'out_of_scope' END WHEN 't1' THEN CASE WHEN lat < 60 AND lon < 60 AND NOT (lat < 20 AND lon < 20) THEN 'in_scope' ELSE 'out_of_scope' END ELSE 'review' END AS scope FROM c), "
+    "v AS (SELECT *, CASE WHEN scope = 'in_scope' THEN CASE WHEN page_id % 3 = 0 THEN 'active_live_unknown' ELSE 'dead_link' END END AS status FROM s) "
+    "SELECT 'https://m.example/' || page_id || '.m3u8' AS stream_url, target_id, scope AS scope_status, status AS validation_status, CASE WHEN scope = 'out_of_scope' OR status = 'dead_link' THEN 'rejected' WHEN status IS NOT NULL THEN 'trusted' ELSE 'untrusted' END AS trust_level, coalesce(status = 'active_live_unknown', false) AS is_trusted, "
+    "CASE WHEN scope = 'out_of_scope' THEN 84 WHEN status = 'dead_link' THEN 94 ELSE 100 END::INTEGER AS camera_evidence_score, CASE scope WHEN 'out_of_scope' THEN 'located_out_of_scope' WHEN 'review' THEN 'located_review_direct_media' ELSE 'located_in_scope_direct_media' END AS candidate_priority_bucket FROM v"
+)
 def full_run(spark: SparkSession, d: str) -> DataFrame:
     """A native run for three targets over the payloads, with probes for a third of the streams."""
     from .plans.run import RunConfig, native
