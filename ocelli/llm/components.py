@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import freed, made, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges (a long, b long)``; the label is the smallest node of its component."""
+    spark, began = edges.sparkSession, made()
     now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     now = written(now, "cc-edges")
     moves: list[DataFrame] = []
@@ -25,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         moves.append(step)
         left = now.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
         right = left.join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
-        now = right.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct()
-        now = written(now, "cc-edges")
+        after = written(right.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct(), "cc-edges")
+        freed(spark, began, after, *moves)
+        now = after
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
     out = moves[0].withColumnRenamed("to", "label")

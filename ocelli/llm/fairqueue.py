@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered, parts, written
+from .shared import freed, made, numbered, parts, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     whole, name = numbered(docs) if keep else (docs, None)
+    began = made()
     rid = F.col(name) if keep else F.monotonically_increasing_id()
     slim = whole.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
     slim = slim.withColumn("absent", F.col("source").isNull().cast("int")).withColumn("shuffled", shuffle_key(F.col("doc_id")))
@@ -98,6 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     sent = running(ranged(rounds, line, "wfq-line"), line, "size", "total").withColumn("room", budget - (F.col("total") - F.col("size")))
     # The first packet that doesn't fit in whole is taken in part; what comes later is not taken.
     cut = sent.filter(F.col("room") < F.col("size")).orderBy(*line).select(*line, F.floor("room").alias("part_taken")).first()
+    freed(spark, began, packets)
     taken = F.lit(0).cast("long")
     for k in range(most):
         if cut is None:

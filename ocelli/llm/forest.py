@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import numbered, only, parts, written
+from .shared import freed, made, numbered, only, parts, written
 from .textops import BLANKS, blocks, buffers, canonical, mix64, shingle_sets, signed, words
 
 COMPONENTS = 128
@@ -448,6 +448,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     if row_col is None:
         docs, row_col = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
         id_col, text_col = "doc_id", "text"
+    began = made()
     texts = docs.select(F.col(row_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(_signer(width), _SIGNED), "forest-rows")
     low = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
@@ -458,7 +459,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     planted = nodes.select("node", "sig").mapInArrow(_planter, "tree int, label binary, node long, sig binary")
     order = planted.repartitionByRange(parts(spark), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     found = written(order.mapInArrow(_grower(least, 3), "kind int, centre long, node long, block long"), "forest-regions")
+    begun = made()
     cluster = written(components(found.filter("kind = 0").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "forest-clusters")
+    freed(spark, begun, cluster)
     sizes = cluster.groupBy("label").agg(F.count("*").alias("members"))
     placed = written(cluster.join(sizes, "label").select("node", "label", (F.col("members") > BLOCK_NODES).alias("large")), "forest-placed")
     small = placed.filter("not large").select("node", F.xxhash64("label").alias("block"))
@@ -467,13 +470,16 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "d
     shipped = texts.select(F.col("rid").alias("node"), "text").join(blocked, "node").select("block", "node", "text")
     dealt = shipped.repartition(parts(spark), "block").sortWithinPartitions("block", "node")
     links = dealt.mapInArrow(_verifier(width, percent), "a long, b long")
+    begun = made()
     label = written(components(links), "forest-labels")
+    freed(spark, begun, label)
     # Regions at the edge of a task's share may turn out whole; then their stragglers are few.
     open_ = found.filter("kind = 1").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     open_ = open_.unionByName(placed.filter("large").select(F.col("label").alias("a"), F.col("node").alias("b")))
     label = _completed(spark, label, components(open_).filter("node >= 0").withColumnRenamed("label", "crowd"), nodes, texts, width, percent)
     whole = nodes.select("s1", "s2", "n_shingles", "node", "low").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = written(whole, "forest-whole")
+    freed(spark, began, rows, whole)
     lowest = whole.groupBy("label").agg(F.min("low").alias("head"))
     named = whole.join(lowest, "label").select("s1", "s2", "n_shingles", "head")
     out = rows.drop("sig").join(named, ["s1", "s2", "n_shingles"], "left")

@@ -40,7 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def made() -> int:
+    """How many scratch tables there are, for ``freed``."""
+    return len(_MADE)
+
+
+def freed(spark: SparkSession, began: int, *kept: DataFrame) -> None:
+    """Deletes the scratch tables written since ``began`` but for those of ``kept``; nothing that is still read may hang on them."""
+    stay = {df.scratch_path for df in kept}
+    paths = [p for p in _MADE[began:] if p not in stay]
+    _MADE[began:] = [p for p in _MADE[began:] if p in stay]
+    _deleted(spark, paths)
 
 
 def _deleted(spark: SparkSession, paths: list[str]) -> None:

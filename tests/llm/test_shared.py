@@ -97,3 +97,11 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError):
         shared.shared_folder(N(conf=conf, sparkContext=context("local-cluster[2,1,1024]")))
     assert shared.shared_folder(N(conf=conf, sparkContext=context("yarn", "hdfs:///c/x"))) == "hdfs:///c/x"
+
+
+def test_operators_keep_only_what_their_result_reads(spark, docs):
+    for make, most in ((lambda: forest.report(docs[1], 3, 85), 3), (lambda: fairqueue.mix(docs[1]), 1), (lambda: fairqueue.mix(docs[1], keep=True), 2)):
+        before = shared.made()
+        out = make()
+        assert shared.made() - before <= most
+        assert out.count() and out.count()
