@@ -111,33 +111,155 @@ def selected(rows: DataFrame, rules: list[Rule], pages: int = 1) -> tuple[DataFr
     return first_seen(good.withColumn("url", U.without_fragment(F.col("url"))), "url"), fit.filter("blocked_reason IS NOT NULL")
 
 
-# Phrases of official query templates, by group; each is quoted before the quoted place.
-PHRASES = {
-    "general": ("public cameras", "live cameras", "camera map", "webcam map", "live webcam", "webcams", "camera feeds", "public webcam"),
+# Official query templates, by group.
+TEMPLATES = {
     "traffic": (
-        "traffic cameras", "live traffic cameras", "road cameras", "highway cameras", "freeway cameras", "511 cameras", "511 traffic cameras", "traveler information|cameras", "DOT cameras",
-        "department of transportation|cameras", "traffic camera map", "road conditions|cameras", "winter road cameras", "highway travel cameras",
+        '"traffic cameras" "{loc}" site:.gov',
+        '"live traffic cameras" "{loc}" site:.gov',
+        '"road cameras" "{loc}" site:.gov',
+        '"highway cameras" "{loc}" site:.gov',
+        '"freeway cameras" "{loc}" site:.gov',
+        '"511 cameras" "{loc}" site:.gov',
+        '"511 traffic cameras" "{loc}" site:.gov',
+        '"traveler information" "cameras" "{loc}" site:.gov',
+        '"DOT cameras" "{loc}" site:.gov',
+        '"department of transportation" "cameras" "{loc}" site:.gov',
+        '"traffic camera map" "{loc}" site:.gov',
+        '"road conditions" "cameras" "{loc}" site:.gov',
+        '"winter road cameras" "{loc}" site:.gov',
+        '"highway travel cameras" "{loc}" site:.gov',
     ),
-    "weather": ("weather cameras", "weather camera", "live weather camera", "weather webcam", "meteorological camera", "airport weather camera", "surface weather camera", "road weather cameras"),
-    "weather_edu": ("weather cameras", "webcam|weather"),
-    "airport": ("airport cameras", "airport weather camera", "aviation weather camera", "runway camera", "airport webcam", "terminal camera", "airport live camera", "airfield camera", "aviation camera program"),
-    "beach": ("beach cameras", "beach webcam", "surf camera", "surf cam", "coastal cameras", "shoreline camera", "pier camera", "ocean camera", "beach conditions|camera"),
-    "harbor": ("harbor cameras", "port cameras", "marina cameras", "harbor webcam", "port webcam", "marina webcam", "ship channel camera", "waterfront camera", "ferry terminal camera", "marine traffic camera"),
-    "parks": ("park cameras", "park webcam", "live park camera", "wildlife camera", "wildlife webcam", "trail camera", "visitor center webcam", "national park webcam", "state park webcam", "public lands camera"),
-    "mountain": ("mountain cameras", "mountain webcam", "snow camera", "snow cameras", "ski camera", "ski webcam", "pass camera", "mountain pass camera", "avalanche camera"),
-    "campus_edu": ("campus webcam", "campus cameras", "live campus camera", "university webcam", "college webcam", "campus live cam", "weather camera", "webcam|campus"),
-    "city": ("city webcam", "downtown camera", "downtown webcam", "public square camera", "city camera", "municipal camera", "public works camera", "city live camera"),
-    "construction": ("construction camera", "construction cameras", "project camera", "project webcam", "bridge construction camera", "road project camera", "capital project camera", "infrastructure camera"),
-    "safety": ("emergency management|camera", "public safety camera", "flood camera", "river camera", "dam camera", "evacuation route camera", "fire weather camera", "disaster camera"),
-}
-# Templates that are not a phrase before the place.
-FREE = {
-    "general_free": ('"live camera" "{loc}" "official"',),
-    "tourism_free": (
-        '"official visitor" "webcam" "{loc}"', '"official tourism" "webcam" "{loc}"', '"visitor bureau" "webcam" "{loc}"', '"tourism" "live camera" "{loc}"', '"chamber of commerce" "webcam" "{loc}"',
-        '"destination webcam" "{loc}" "official"', '"live camera" "{loc}" "visitor center"',
+    "general": (
+        '"public cameras" "{loc}" site:.gov',
+        '"live cameras" "{loc}" site:.gov',
+        '"camera map" "{loc}" site:.gov',
+        '"webcam map" "{loc}" site:.gov',
+        '"live webcam" "{loc}" site:.gov',
+        '"webcams" "{loc}" site:.gov',
+        '"camera feeds" "{loc}" site:.gov',
+        '"public webcam" "{loc}" site:.gov',
+        '"live camera" "{loc}" "official"',
     ),
-}
+    "city": (
+        '"city webcam" "{loc}" site:.gov',
+        '"downtown camera" "{loc}" site:.gov',
+        '"downtown webcam" "{loc}" site:.gov',
+        '"public square camera" "{loc}" site:.gov',
+        '"city camera" "{loc}" site:.gov',
+        '"municipal camera" "{loc}" site:.gov',
+        '"public works camera" "{loc}" site:.gov',
+        '"city live camera" "{loc}" site:.gov',
+    ),
+    "construction": (
+        '"construction camera" "{loc}" site:.gov',
+        '"construction cameras" "{loc}" site:.gov',
+        '"project camera" "{loc}" site:.gov',
+        '"project webcam" "{loc}" site:.gov',
+        '"bridge construction camera" "{loc}" site:.gov',
+        '"road project camera" "{loc}" site:.gov',
+        '"capital project camera" "{loc}" site:.gov',
+        '"infrastructure camera" "{loc}" site:.gov',
+    ),
+    "safety": (
+        '"emergency management" "camera" "{loc}" site:.gov',
+        '"public safety camera" "{loc}" site:.gov',
+        '"flood camera" "{loc}" site:.gov',
+        '"river camera" "{loc}" site:.gov',
+        '"dam camera" "{loc}" site:.gov',
+        '"evacuation route camera" "{loc}" site:.gov',
+        '"fire weather camera" "{loc}" site:.gov',
+        '"disaster camera" "{loc}" site:.gov',
+    ),
+    "weather": (
+        '"weather cameras" "{loc}" site:.gov',
+        '"weather camera" "{loc}" site:.gov',
+        '"live weather camera" "{loc}" site:.gov',
+        '"weather webcam" "{loc}" site:.gov',
+        '"meteorological camera" "{loc}" site:.gov',
+        '"airport weather camera" "{loc}" site:.gov',
+        '"surface weather camera" "{loc}" site:.gov',
+        '"road weather cameras" "{loc}" site:.gov',
+        '"weather cameras" "{loc}" site:.edu',
+        '"webcam" "weather" "{loc}" site:.edu',
+    ),
+    "mountain": (
+        '"mountain cameras" "{loc}" site:.gov',
+        '"mountain webcam" "{loc}" site:.gov',
+        '"snow camera" "{loc}" site:.gov',
+        '"snow cameras" "{loc}" site:.gov',
+        '"ski camera" "{loc}" site:.gov',
+        '"ski webcam" "{loc}" site:.gov',
+        '"pass camera" "{loc}" site:.gov',
+        '"mountain pass camera" "{loc}" site:.gov',
+        '"avalanche camera" "{loc}" site:.gov',
+    ),
+    "airport": (
+        '"airport cameras" "{loc}" site:.gov',
+        '"airport weather camera" "{loc}" site:.gov',
+        '"aviation weather camera" "{loc}" site:.gov',
+        '"runway camera" "{loc}" site:.gov',
+        '"airport webcam" "{loc}" site:.gov',
+        '"terminal camera" "{loc}" site:.gov',
+        '"airport live camera" "{loc}" site:.gov',
+        '"airfield camera" "{loc}" site:.gov',
+        '"aviation camera program" "{loc}" site:.gov',
+    ),
+    "campus": (
+        '"campus webcam" "{loc}" site:.edu',
+        '"campus cameras" "{loc}" site:.edu',
+        '"live campus camera" "{loc}" site:.edu',
+        '"university webcam" "{loc}" site:.edu',
+        '"college webcam" "{loc}" site:.edu',
+        '"campus live cam" "{loc}" site:.edu',
+        '"weather camera" "{loc}" site:.edu',
+        '"webcam" "campus" "{loc}" site:.edu',
+    ),
+    "beach": (
+        '"beach cameras" "{loc}" site:.gov',
+        '"beach webcam" "{loc}" site:.gov',
+        '"surf camera" "{loc}" site:.gov',
+        '"surf cam" "{loc}" site:.gov',
+        '"coastal cameras" "{loc}" site:.gov',
+        '"shoreline camera" "{loc}" site:.gov',
+        '"pier camera" "{loc}" site:.gov',
+        '"ocean camera" "{loc}" site:.gov',
+        '"beach conditions" "camera" "{loc}" site:.gov',
+    ),
+    "harbor": (
+        '"harbor cameras" "{loc}" site:.gov',
+        '"port cameras" "{loc}" site:.gov',
+        '"marina cameras" "{loc}" site:.gov',
+        '"harbor webcam" "{loc}" site:.gov',
+        '"port webcam" "{loc}" site:.gov',
+        '"marina webcam" "{loc}" site:.gov',
+        '"ship channel camera" "{loc}" site:.gov',
+        '"waterfront camera" "{loc}" site:.gov',
+        '"ferry terminal camera" "{loc}" site:.gov',
+        '"marine traffic camera" "{loc}" site:.gov',
+    ),
+    "tourism": (
+        '"official visitor" "webcam" "{loc}"',
+        '"official tourism" "webcam" "{loc}"',
+        '"visitor bureau" "webcam" "{loc}"',
+        '"tourism" "live camera" "{loc}"',
+        '"chamber of commerce" "webcam" "{loc}"',
+        '"destination webcam" "{loc}" "official"',
+        '"live camera" "{loc}" "visitor center"',
+    ),
+    "parks": (
+        '"park cameras" "{loc}" site:.gov',
+        '"park webcam" "{loc}" site:.gov',
+        '"live park camera" "{loc}" site:.gov',
+        '"wildlife camera" "{loc}" site:.gov',
+        '"wildlife webcam" "{loc}" site:.gov',
+        '"trail camera" "{loc}" site:.gov',
+        '"visitor center webcam" "{loc}" site:.gov',
+        '"national park webcam" "{loc}" site:.gov',
+        '"state park webcam" "{loc}" site:.gov',
+        '"public lands camera" "{loc}" site:.gov',
+    ),
+}
+
 # Groups of each intent, in order; an intent is the first key that its name holds.
 INTENTS = {
     "traffic": "traffic general city construction safety",
@@ -167,20 +289,12 @@ INTENTS = {
     "default": "general city tourism traffic safety",
 }
 EXCLUSIONS = " -site:insecam.org -site:shodan.io -site:censys.io -site:zoomeye.org -site:fofa.info"
-PARTS = {"general": ("general", "general_free"), "weather": ("weather", "weather_edu"), "campus": ("campus_edu",), "tourism": ("tourism_free",)}
 
 
 def templates(intent: str) -> list[str]:
     """Official query templates of an intent, in order."""
     key = next((k for k in INTENTS if k in (intent or "default").lower()), "default")
-    out = []
-    for group in INTENTS[key].split():
-        for part in PARTS.get(group, (group,)):
-            if part in FREE:
-                out += FREE[part]
-            else:
-                scope = "site:.edu" if part.endswith("_edu") else "site:.gov"
-                out += [" ".join(f'"{x}"' for x in p.split("|")) + f' "{{loc}}" {scope}' for p in PHRASES[part]]
+    out = [t for group in INTENTS[key].split() for t in TEMPLATES[group]]
     return list(dict.fromkeys(out))
 
 
