@@ -10,7 +10,9 @@ with the item's bytes before it counts.
 
 Edge cases: a null or empty text has no words and no hits; an item without
 words has no window; items may repeat and share windows (each counts); an empty
-benchmark leaves every document clean.
+benchmark leaves every document clean; an empty table gives an empty result.  Rows
+may repeat.  ``report`` reads the id and the text alone, and in ``clean`` all columns
+travel under names of their own, so no name can clash.
 """
 
 from __future__ import annotations
