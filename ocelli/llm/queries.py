@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fairqueue, forest, pst, secretscan, sitequality, tagpaths, tokencounts, toxicity, webp
+from . import decontaminate, divergence, fairqueue, forest, ordermin, periodic, pst, secretscan, sitequality, tagpaths, tokencounts, toxicity, webp
 from .shared import table
 
 
@@ -50,6 +50,18 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_webp": op2_webp,
@@ -61,9 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fair_queue": op8_fair_queue,
     "op9_decontaminate": op9_decontaminate,
     "op10_tag_paths": op10_tag_paths,
+    "op11_divergence": op11_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_order_minhash": op13_order_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op8_fair_queue": fairqueue.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_divergence": divergence.SQL,
 }
