@@ -128,7 +128,7 @@ def select_top(rows: DataFrame, group: list[str], k: int) -> DataFrame:
     ties = written(rows.join(limit, group).filter("value = limit").select(*group, F.col("item").cast("binary").alias("bytes")), "radix-ties")
     # Where more terms tie than there is room for, their bytes decide.
     state = written(limit.filter("left > need").select(*group, "need", F.lit(b"").alias("head")), "radix-bytes")
-    ends = limit.filter("left = need").select(*group, F.lit(None).cast("binary").alias("last"))
+    ends = limit.filter("left = need").select(*group, F.lit(None).cast("binary").alias("last"), F.lit(0).alias("width"))
     while not state.isEmpty():
         inside = ties.join(state, group).filter(F.substring("bytes", F.lit(1), F.octet_length("head")) == F.col("head"))
         # What all that are left begin with needs no round of its own.
@@ -137,22 +137,22 @@ def select_top(rows: DataFrame, group: list[str], k: int) -> DataFrame:
         width = F.coalesce(F.get(longer, F.lit(0)), F.octet_length("lo")) - 1 + CHUNK
         heads = ties.join(span.select(*group, "need", width.alias("width"), F.substring("lo", F.lit(1), width - CHUNK).alias("common")), group)
         heads = heads.filter(F.substring("bytes", F.lit(1), F.octet_length("common")) == F.col("common"))
-        heads = heads.groupBy(*group, "need", F.substring("bytes", F.lit(1), F.col("width")).alias("head")).agg(F.count("*").alias("left"))
-        now = written(_reached(heads, group, F.asc("head")), "radix-bytes")
-        ends = ends.union(now.filter("left = need").select(*group, F.col("head").alias("last")))
+        heads = heads.groupBy(*group, "need", "width", F.substring("bytes", F.lit(1), F.col("width")).alias("head")).agg(F.count("*").alias("left"))
+        now = written(_reached(heads, group, F.asc("head"), "width"), "radix-bytes")
+        ends = ends.union(now.filter("left = need").select(*group, F.col("head").alias("last"), "width"))
         state = now.filter("left > need").select(*group, "need", "head")
     taken = rows.join(limit.select(*group, "limit"), group).join(ends, group)
     item = F.col("item").cast("binary")
-    tied = (F.col("value") == F.col("limit")) & (F.col("last").isNull() | (F.substring(item, F.lit(1), F.octet_length("last")) <= F.col("last")))
+    tied = (F.col("value") == F.col("limit")) & (F.col("last").isNull() | (F.substring(item, F.lit(1), F.col("width")) <= F.col("last")))
     return taken.filter((F.col("value") > F.col("limit")) | tied).select(*group, "item", "value")
 
 
-def _reached(counted: DataFrame, group: list[str], order: Column) -> DataFrame:
+def _reached(counted: DataFrame, group: list[str], order: Column, *more: str) -> DataFrame:
     """Of each group's histogram (``head, left`` and the group's ``need``) the bin in which the need is met, and what it has to give."""
     line = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = counted.withColumn("upto", F.sum("left").over(line))
     met = summed.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("left") < F.col("need")))
-    return met.select(*group, "head", (F.col("need") - (F.col("upto") - F.col("left"))).alias("need"), "left")
+    return met.select(*group, "head", *more, (F.col("need") - (F.col("upto") - F.col("left"))).alias("need"), "left")
 
 
 #: DuckDB SQL for ``audit`` over ``documents`` with the default parameters.
