@@ -92,9 +92,8 @@ def test_select_top(spark, tmp_path):
 
 
 def test_lowering(spark):
-    t = "AZ az ÀÉ ß İstanbul ẞ K"
-    df = spark.createDataFrame([(t,), ("ASCII Z",)], "t string").select(divergence.lowered(F.col("t")).alias("x"))
-    assert [r.x for r in df.collect()] == ["az az ÀÉ ß İstanbul ẞ K".replace("I", "i") if "I" in t else t, "ascii z"]
+    df = spark.createDataFrame([("AZ az \u00c0\u00c9 \u00df \u0130stanbul \u1e9e \u212a",), ("ASCII Z",)], "t string").select(divergence.lowered(F.col("t")).alias("x"))
+    assert [r.x for r in df.collect()] == ["az az \u00c0\u00c9 \u00df \u0130stanbul \u1e9e \u212a", "ascii z"]
 
 
 def test_odd_tables_and_sql(spark, odd, none, tmp_path):
