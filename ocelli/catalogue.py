@@ -549,7 +549,9 @@ def harvested_urls(spark: SparkSession, d: str) -> DataFrame:
     from .plans.harvest import HarvestConfig, harvest
 
     h = harvest(payloads(spark, d), HarvestConfig(media=["hls"], image_filter="camera-evidence"))
-    return h.records.select("_ord", "url", "media_type", "title", "camera_id", "lat", "lon", "asset_role", F.size("duplicate_sources").alias("duplicates"))
+    # One number for the place of a record: its payload has one camera.
+    place = F.col("_ord.payload") * 4000000 + F.col("_ord.kind") * 2000000 + F.col("_ord.record") * 1000 + F.col("_ord.asset")
+    return h.records.select(place.alias("_ord"), "url", "media_type", "title", "camera_id", "lat", "lon", "asset_role", F.size("duplicate_sources").alias("duplicates"))
 
 
 @query("SELECT 'https://api.example/q/' || page_id AS endpoint_url, 5::BIGINT AS record_count, 'directory' AS source_provider, 'src' AS source_name, 'static' AS first_seen_method, url AS source_page_url, 1::BIGINT AS camera_record_count, 1::BIGINT AS media_asset_count, true AS has_coordinates, false AS has_timestamps, true AS has_service_status, false AS has_refresh_metadata, page_id * 2 + 1 AS _ord, 'json' AS endpoint_type FROM pages")

@@ -252,7 +252,8 @@ def _admitted(asked: DataFrame, limit: int, wide_limit: int) -> DataFrame:
 
     w = Window.partitionBy("target_id").orderBy("_r", "stream_url", "_ord")
     most = F.when(F.col("_wide"), F.lit(max(limit, wide_limit) if limit else 0)).otherwise(F.lit(limit))
-    return asked.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most)
+    # The constant bound cuts ranks before the shuffle; the column's own comes after.
+    return asked.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max(limit, wide_limit)).filter(F.col("_rank") <= most)
 
 
 def _with_inferred(out: DataFrame, inferred: DataFrame, cache: DataFrame, least: float, limit: int) -> DataFrame:

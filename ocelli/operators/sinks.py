@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import coerce as N
 from ..functions import geo as G
@@ -301,7 +302,10 @@ def m3u_lines(rows: DataFrame, group: str | None = None) -> DataFrame:
     label = F.lit(group) if group else F.col("playlist")
     line = F.concat(F.lit('#EXTINF:-1 tvg-name="'), title, F.lit('" group-title="'), m3u_text(label), F.lit('",'), title)
     body = rows.select("playlist", "_ord", F.posexplode(F.array(line, F.col("stream_url"))).alias("k", "value"))
-    head = rows.select("playlist").distinct().select("playlist", F.lit(-1).cast("long").alias("_ord"), F.lit(0).alias("k"), F.lit("#EXTM3U").alias("value"))
+    # Before all rows: -1, or null where the order is a struct.
+    kind = rows.schema["_ord"].dataType
+    before = F.lit(-1).cast(kind) if isinstance(kind, NumericType) else F.lit(None).cast(kind)
+    head = rows.select("playlist").distinct().select("playlist", before.alias("_ord"), F.lit(0).alias("k"), F.lit("#EXTM3U").alias("value"))
     return head.unionByName(body)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
@@ -33,6 +33,12 @@ LATE = {
 }
 
 
+def record_order(payload: str, kind: int, record: str, asset: str | None = None) -> Column:
+    """The place of a URL record: by payload, assets of cameras (kind 0) before other findings (1), then record and asset."""
+    at = F.col(asset) if asset else F.lit(0)
+    return F.struct(F.col(payload).cast("long").alias("payload"), F.lit(kind).alias("kind"), F.col(record).cast("long").alias("record"), at.cast("long").alias("asset"))
+
+
 def asset_records(cameras: DataFrame) -> DataFrame:
     """Every asset of every camera as a URL record."""
     own = cameras.select("*", F.posexplode("media_assets").alias("_k", "a"))
@@ -42,14 +48,13 @@ def asset_records(cameras: DataFrame) -> DataFrame:
     )
     cols = {"url": F.col("a.url"), "media_type": F.col("a.media_type"), "asset_id": F.col("a.asset_id"), "asset_role": F.col("a.asset_role"), "asset_field": F.col("a.asset_field"), "field_path": F.col("a.field_path"), "source_url": F.col("source_endpoint_url"), "discovery_method": F.lit("structured_camera_record"), "metadata": meta}
     same = [c for c in cameras.columns if c not in ("media_assets", "metadata", "field_map", "raw_record", "coordinates", "status_source", "payload_ord", "record_ord")]
-    order = (F.col("payload_ord") * 4000000 + F.col("record_ord") * 1000 + F.col("_k")).cast("long")
-    return own.select(order.alias("_ord"), *same, *[v.alias(k) for k, v in cols.items()])
+    return own.select(record_order("payload_ord", 0, "record_ord", "_k").alias("_ord"), *same, *[v.alias(k) for k, v in cols.items()])
 
 
 def url_records(payloads: DataFrame, cameras: DataFrame, config: HarvestConfig) -> DataFrame:
     """All URL records of payloads, in order: the cameras' assets before other findings of the same payload."""
     found = extract.harvest_records(payloads)
-    loose = found.withColumn("_ord", (F.col("payload_ord") * 4000000 + 2000000 + F.col("record_ord")).cast("long")).drop("payload_ord", "record_ord")
+    loose = found.withColumn("_ord", record_order("payload_ord", 1, "record_ord")).drop("payload_ord", "record_ord")
     loose = loose.withColumns({c: F.lit(None).cast(t) for c, t in LATE.items()})
     meta = lambda k: F.try_element_at("metadata", F.lit(k))
     loose = loose.withColumns({"asset_field": meta("json_media_key"), "source_endpoint_url": meta("json_endpoint_url"), "status": meta("status"), "orientation": meta("orientation")})

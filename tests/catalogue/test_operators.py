@@ -156,6 +156,45 @@ def test_joint_budgets(spark):
     assert got == [None, None, "host_browser_budget_exhausted", None, None, "directory_browser_budget_exhausted", "directory_browser_budget_exhausted"]
 
 
+def plain_budgets(rows, total, by_provider, per_host, failures):
+    state, out = {}, {}
+    for run, ord_, provider, host, failed in sorted(rows, key=lambda r: r[1]):
+        used, fam, hosts, bad = state.setdefault(run, ([0], {}, {}, {}))
+        family = (provider or "").split(":")[0]
+        if used[0] >= total:
+            reason = "global_browser_budget_exhausted"
+        elif fam.get(family, 0) >= by_provider.get(family, total):
+            reason = f"{family}_browser_budget_exhausted"
+        elif hosts.get(host, 0) >= per_host:
+            reason = "host_browser_budget_exhausted"
+        elif bad.get(host, 0) >= failures:
+            reason = "host_browser_cooldown"
+        else:
+            reason = None
+            used[0] += 1
+            fam[family] = fam.get(family, 0) + 1
+            hosts[host] = hosts.get(host, 0) + 1
+            bad[host] = bad.get(host, 0) + bool(failed)
+        out[(run, ord_)] = reason
+    return out
+
+
+def test_joint_budgets_match_a_loop(spark):
+    for seed, total, by, per_host, failures in ((1, 40, {"blind": 9, "directory": 17}, 4, 2), (2, 500, {"blind": 30, "": 3, "seed": 0}, 6, 1), (3, 7, {"blind": 50}, 1, 3), (4, 0, {}, 2, 2), (5, 30, {"blind": 5}, 0, 2), (6, 25, {"blind": 5, "directory": 5, "seed": 5, "map": 5}, 30, 9)):
+        g = random.Random(seed)
+        rows = [(g.choice(["a", "b", None]), k, g.choice(["blind:x", "blind:y", "directory", "seed", "map", None]), g.choice([f"h{g.randrange(40)}", "hot", "hot", None]), g.random() < 0.3) for k in range(600)]
+        df = spark.createDataFrame(rows, "run_id string, _ord long, provider string, host string, failed boolean").repartition(5)
+        got = admit.joint_budgets(df, total, by, per_host, failures)
+        assert {(r.run_id, r._ord): r.skip_reason for r in got.collect()} == plain_budgets(rows, total, by, per_host, failures), seed
+        assert got.columns == [*df.columns, "admitted", "skip_reason"] and got.filter("admitted = (skip_reason IS NULL)").count() == 600
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joint_budgets_of_no_rows(spark):
+    df = spark.createDataFrame([], "run_id string, _ord long, provider string, host string, failed boolean")
+    assert admit.joint_budgets(df, 5, {"blind": 3}, 2).collect() == []
+
+
 def test_coercion(spark):
     assert column(spark, N.boolean(F.col("v")), ["In Service", "0", "maybe", None]) == [True, False, None, None]
     assert column(spark, N.first_number(F.col("v")), ["-77.03°", "abc", "", None]) == [-77.03, None, None, None]
