@@ -1,18 +1,20 @@
 """First-seen and merging semantics, each under its own name.
 
 Frames carry an explicit order ``_ord``.  All merges are grouped aggregations
-with map-side combination (``min_by`` with a filter) unless the fold itself
-depends on the order, as in ``fold_candidates``.
+with map-side combination (``min_by`` with a filter); the one fold whose outcome
+depends on the order, ``fold_candidates``, composes the states of its stretches.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
 from ..functions import url as U
 from ..functions.text import is_empty, text
+from ..staging import Stage
 
 
 def first_seen(df: DataFrame, *keys: Column | str, order: str = "_ord") -> DataFrame:
@@ -99,7 +101,11 @@ def _overridden(own: Column, other: Column) -> Column:
     return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(over, k)), over)
 
 
-def fold_candidates(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows of one URL that are folded within its aggregation; URLs of more rows are folded across partitions.
+CROWD = 10_000
+
+
+def fold_candidates(df: DataFrame, *keys: str, crowd: int = CROWD) -> DataFrame:
     """One candidate for each canonical URL (and ``keys``) by an order-dependent fold.
 
     1. An HLS row replaces one that isn't, as it is.
@@ -108,32 +114,195 @@ def fold_candidates(df: DataFrame, *keys: str) -> DataFrame:
     3. Otherwise empty title, location and metadata are filled; a structured row
        wins those, and overrides the named metadata, where the other isn't one.
 
-    The place of the first row is kept.  The fold runs inside the aggregation of
-    one key; its array holds the rows of one URL.
+    The place of the first row is kept.  ``_ord`` differs within a URL.  A URL of
+    up to ``crowd`` rows is folded inside its aggregation, so no array is longer;
+    the rows of larger ones stay where their range partition is (``_fold_crowds``),
+    and the outcome is the same.
     """
     fields = [c for c in df.columns if c != "_ord"]
     url = F.regexp_replace(U.canonical(F.col("stream_url")), "(?s)#.*$", "")
     rows = df.withColumn("stream_url", url).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
-    packed = rows.groupBy(*keys, F.col("stream_url").alias("_key")).agg(in_order(F.collect_list(F.struct("_ord", F.struct(*fields).alias("r")))).alias("_rows"))
-    kind = lambda r: M.type_for_caps(F.try_element_at(r["metadata"], F.lit("media_type")), r["stream_url"])
-    located = lambda r: r["lat"].isNotNull() & r["lon"].isNotNull()
-    structured = lambda r: ~F.lower(text(F.try_element_at(r["metadata"], F.lit("json_metadata_extracted")))).isin("", "false", "0")
+    names = [f"_g{i}" for i in range(len(keys) + 1)]
+    rows = rows.select("*", *[F.col(c).alias(n) for c, n in zip((*keys, "stream_url"), names)])
+    crowds = rows.groupBy(*names).agg(F.count("*").alias("_c")).filter(F.col("_c") > crowd).drop("_c")
+    stage = Stage(df.sparkSession)
+    crowds = stage(crowds, "fold-crowds")
+    if crowds.isEmpty():
+        stage.free()
+        return _fold_few(rows, names, fields).select(*df.columns)
+    meet = _same(rows, crowds, names)
+    large = rows.join(crowds.toDF(*[f"{n}b" for n in names]), meet, "left_semi")
+    small = rows.join(crowds.toDF(*[f"{n}b" for n in names]), meet, "left_anti")
+    return _fold_few(small, names, fields).unionByName(_fold_crowds(large, names, fields, stage)).select(*df.columns)
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str], suffix: str = "b") -> Column:
+    """Equal groups, nulls included; the right side's names end in ``suffix``."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).eqNullSafe(F.col(f"{n}{suffix}"))
+    return out
+
+
+def _kind(r) -> Column:
+    return M.type_for_caps(F.try_element_at(r["metadata"], F.lit("media_type")), r["stream_url"])
+
+
+def _located(r) -> Column:
+    return r["lat"].isNotNull() & r["lon"].isNotNull()
+
+
+def _structured(r) -> Column:
+    return ~F.lower(text(F.try_element_at(r["metadata"], F.lit("json_metadata_extracted")))).isin("", "false", "0")
+
+
+def _fold_few(rows: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
+    packed = rows.groupBy(*names).agg(in_order(F.collect_list(F.struct("_ord", F.struct(*fields).alias("r")))).alias("_rows"))
 
     def rebuilt(r: Column, **new: Column) -> Column:
         return F.struct(*[new.get(f, r[f]).alias(f) for f in fields])
 
     def step(old: Column, row: Column) -> Column:
-        better = structured(row) & ~structured(old)
+        better = _structured(row) & ~_structured(old)
         take = lambda f: F.when((text(row[f]) != "") & ((text(old[f]) == "") | better), row[f]).otherwise(old[f])
-        meta = F.when(structured(row), _overridden(_filled(old["metadata"], row["metadata"]), row["metadata"])).otherwise(_filled(old["metadata"], row["metadata"]))
+        meta = F.when(_structured(row), _overridden(_filled(old["metadata"], row["metadata"]), row["metadata"])).otherwise(_filled(old["metadata"], row["metadata"]))
         return (
-            F.when((kind(row) == "hls") & (kind(old) != "hls"), row)
-            .when(located(row) & (~located(old) | better), rebuilt(row, metadata=_filled(row["metadata"], old["metadata"])))
+            F.when((_kind(row) == "hls") & (_kind(old) != "hls"), row)
+            .when(_located(row) & (~_located(old) | better), rebuilt(row, metadata=_filled(row["metadata"], old["metadata"])))
             .otherwise(rebuilt(old, title=take("title"), location_text=take("location_text"), metadata=meta))
         )
 
     folded = F.aggregate(F.slice(F.col("_rows"), F.lit(2), F.size("_rows")), F.col("_rows")[0]["r"], lambda acc, x: step(acc, x["r"]))
-    return packed.select(F.col("_rows")[0]["_ord"].alias("_ord"), folded.alias("r")).select("_ord", "r.*").select(*df.columns)
+    return packed.select(F.col("_rows")[0]["_ord"].alias("_ord"), folded.alias("r")).select("_ord", "r.*")
+
+
+#: What the fold's choices depend on, of a row or of the result so far: the declared
+#: type (none, HLS, another), the mark of structured sources (none, false, true), and
+#: whether it is located.  As one number: ``type * 6 + mark * 2 + located``.
+STATES = 18
+#: What a row does: replaces all, replaces and is back-filled, fills; the last one as a structured row, and where the result isn't one.
+REPLACES, BACKED, FILLS, FILLS_STRUCTURED, FILLS_BETTER = range(5)
+
+
+def _next(state: int, row: int, hls_url: bool) -> tuple[int, int]:
+    """The result's state after a row of this state, and what the row does."""
+    (t, m, at), (rt, rm, rat) = ((x // 6, x // 2 % 3, x % 2) for x in (state, row))
+    is_hls = lambda t: t == 1 or (t == 0 and hls_url)
+    better = rm == 2 and m != 2
+    if is_hls(rt) and not is_hls(t):
+        return row, REPLACES
+    if rat and (not at or better):
+        return (rt or t) * 6 + (rm or m) * 2 + 1, BACKED
+    # A structured row overrides the mark; the type is only filled.
+    return (t or rt) * 6 + (2 if rm == 2 else m or rm) * 2 + at, FILLS_BETTER if better else FILLS_STRUCTURED if rm == 2 else FILLS
+
+
+def _fold_crowds(rows: DataFrame, names: list[str], fields: list[str], stage: Stage) -> DataFrame:
+    """The same fold for URLs of any number of rows.
+
+    Its choices depend on 18 states only, so what a stretch of rows does is a table
+    of 18 outcomes, and tables of stretches compose.  Rows are range-partitioned by
+    URL and order; each partition sends the table of the URL that it begins with and
+    the state in which it ends, one row for each partition; from these follows the
+    state in which each begins.  A second pass says what each row does.  The values
+    are then grouped aggregations: the last row that replaces gives the fields, the
+    last that overrides or the first that fills gives a text or an entry.
+    """
+    spark = rows.sparkSession
+    meta = lambda k: F.lower(text(F.try_element_at("metadata", F.lit(k))))
+    url_is_hls = (M.type_for_caps(F.lit(None).cast("string"), F.col("stream_url")) == "hls").cast("int")
+    declared = M.type_for_caps(F.try_element_at("metadata", F.lit("media_type")), F.col("stream_url"))
+    kind = F.when(meta("media_type") == "", 0).when(declared == "hls", 1).otherwise(2)
+    mark = F.when(meta("json_metadata_extracted") == "", 0).when(meta("json_metadata_extracted").isin("false", "0"), 1).otherwise(2)
+    state = (kind * 6 + mark * 2 + _located({k: F.col(k) for k in ("lat", "lon")}).cast("int")).cast("int")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("*", F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in names], *[F.col(x).isNull() for x in names]).alias("_h"), state.alias("_s"), url_is_hls.alias("_u"))
+    dealt = stage(dealt.repartitionByRange(n, "_h", *names, "_ord").withColumn("_part", F.spark_partition_id()), "fold-rows")
+    order = ["_part", "_h", *names, "_ord"]
+    steps = {u: [[_next(s, r, bool(u)) for r in range(STATES)] for s in range(STATES)] for u in (0, 1)}
+    # A group is known by its columns; nulls and types are compared as text with a mark.
+    group = F.to_json(F.struct(*[F.struct(F.col(x).cast("string").alias("v")).alias(x) for x in names])).alias("_group")
+    lean = dealt.select("_part", group, "_ord", "_s", "_u", *names, "_h")
+    lean = lean.repartition(n, "_part").sortWithinPartitions(*order).select("_part", "_group", "_s", "_u", "_ord")
+
+    def ends(frames):
+        """For each partition: its first group and what it does there, its last group and the state after it."""
+        seen: dict[int, list] = {}
+        for frame in frames:
+            for part, key, s, u in zip(frame["_part"], frame["_group"], frame["_s"], frame["_u"]):
+                at = seen.get(part)
+                if at is None:  # first group, its table, last group, its state (None while it is the first one)
+                    seen[part] = [key, [steps[u][x][s][0] for x in range(STATES)], key, None, s]
+                elif at[2] == key:
+                    if at[3] is None:
+                        at[1] = [steps[u][x][s][0] for x in at[1]]
+                        at[4] = steps[u][at[4]][s][0]
+                    else:
+                        at[3] = steps[u][at[3]][s][0]
+                else:
+                    at[2], at[3] = key, s
+        yield pd.DataFrame([(p, a[0], a[1], a[2], a[3], a[4]) for p, a in seen.items()], columns=["_part", "head", "does", "tail", "after", "alone"]).astype({"after": "Int64"})
+
+    told = lean.mapInPandas(ends, "_part int, head string, does array<int>, tail string, after int, alone int").orderBy("_part").collect()  # one row for each partition
+    begins: dict[int, tuple[str, int]] = {}
+    carried: tuple[str, int] | None = None
+    for r in told:
+        if carried and carried[0] == r["head"]:
+            begins[r["_part"]] = carried
+            first = r["does"][carried[1]]
+        else:
+            first = r["alone"]
+        carried = (r["tail"], first if r["after"] is None else r["after"])
+
+    def doings(frames):
+        part = key = now = None
+        for frame in frames:
+            out = []
+            for p, k, s, u in zip(frame["_part"], frame["_group"], frame["_s"], frame["_u"]):
+                if p != part:
+                    part, (key, now) = p, begins.get(p, (None, None))
+                if k != key:
+                    key, now = k, s
+                    out.append(REPLACES)
+                else:
+                    now, does = steps[u][now][s]
+                    out.append(does)
+            yield frame[["_part", "_ord"]].assign(_group=frame["_group"], _does=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
+    does = lean.mapInPandas(doings, f"_part int, _ord {kinds['_ord']}, _group string, _does int")
+    marked = dealt.withColumn("_group", group).join(does, ["_part", "_group", "_ord"])
+    marked = stage(marked.select("_group", "_ord", "_does", *fields), "fold-doings")
+    replaces, full = F.col("_does") <= BACKED, lambda c: text(F.col(c)) != ""
+    spans = marked.groupBy("_group").agg(
+        F.min("_ord").alias("_first"),
+        F.max(F.when(F.col("_does") == REPLACES, F.col("_ord"))).alias("_from"),
+        F.max(F.when(replaces, F.col("_ord"))).alias("_base"),
+        *[F.max_by(F.struct(c), F.when(replaces, F.col("_ord")))[c].alias(c) for c in fields if c not in ("title", "location_text", "metadata")],
+    )
+    spans = stage(spans, "fold-spans")
+    late = marked.join(spans.select("_group", "_from", "_base"), "_group").filter(F.col("_ord") >= F.col("_from"))
+    texts = []
+    for c in ("title", "location_text"):
+        after = full(c) & (F.col("_ord") >= F.col("_base"))
+        wins = F.max_by(c, F.when(after & (F.col("_does") == FILLS_BETTER), F.col("_ord")))
+        fills = F.min_by(c, F.when(after, F.col("_ord")))
+        # What no row fills stays as the base has it: null or empty.
+        base = F.max_by(F.struct(c), F.when(F.col("_ord") == F.col("_base"), F.col("_ord")))[c]
+        texts.append(F.coalesce(wins, fills, base).alias(c))
+    said = late.groupBy("_group").agg(*texts)
+    entry = late.select("_group", "_ord", "_does", F.explode("metadata").alias("_k", "_v"))
+    sets = (F.col("_does") == REPLACES) | ((F.col("_does") == BACKED) & full("_v")) | (F.col("_does").isin(FILLS_STRUCTURED, FILLS_BETTER) & F.col("_k").isin(*OVERRIDES))
+    entry = entry.withColumn("_sets", sets)
+    last = entry.groupBy("_group", "_k").agg(F.max(F.when(F.col("_sets"), F.col("_ord"))).alias("_at"), F.max_by("_v", F.when(F.col("_sets"), F.col("_ord"))).alias("_set"), F.max_by("_v", "_ord").alias("_any"))
+    last = stage(last, "fold-entries")
+    bare = last.filter(~full("_set")).select("_group", "_k", "_at")
+    fills = entry.filter(full("_v") & ~F.col("_sets") & (F.col("_does") != BACKED)).join(bare, ["_group", "_k"]).filter(F.col("_at").isNull() | (F.col("_ord") > F.col("_at")))
+    fills = fills.groupBy("_group", "_k").agg(F.min_by("_v", "_ord").alias("_fill"))
+    value = F.when(full("_set"), F.col("_set")).otherwise(F.coalesce("_fill", F.when(F.col("_at").isNotNull(), F.col("_set")).otherwise(F.col("_any"))))
+    maps = last.join(fills, ["_group", "_k"], "left").groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("_k", value.alias("_v")))).alias("metadata"))
+    out = spans.join(said, "_group").join(maps, "_group", "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    return out.select(F.col("_first").alias("_ord"), *fields)
 
 
 def merge_target_sets(df: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_harvest_merge(spark):
         assert r.metadata == {"a": "1", "b": "2"} and r.duplicate_sources == ["s2", "s3"]
 
 
-def plain_fold(rows):
+def plain_fold(rows, is_hls=None):
     """The fold as a loop over dictionaries."""
     over = set(merge.OVERRIDES)
     out = {}
@@ -89,7 +89,7 @@ def plain_fold(rows):
             out[key] = r
             continue
         e = out[key]
-        hls = lambda x: x["stream_url"].endswith(".m3u8") or x["metadata"].get("media_type") == "hls"
+        hls = is_hls or (lambda x: x["stream_url"].endswith(".m3u8") or x["metadata"].get("media_type") == "hls")
         js = lambda x: x["metadata"].get("json_metadata_extracted") == "true"
         better = js(r) and not js(e)
         fill = lambda a, b: {**{k: v for k, v in b.items() if a.get(k) in (None, "")}, **{k: v for k, v in a.items() if v not in (None, "") or k not in b}}
@@ -124,6 +124,38 @@ def test_fold_matches_a_loop(spark):
     assert got == plain_fold(rows)
 
 
+def crowd_rows(seed, n, urls):
+    g = random.Random(seed)
+    rows = []
+    for k in range(n):
+        meta = {m: g.choice(["", f"v{k}"]) for m in g.sample(["camera_id", "x", "y", "camera_type"], 2)}
+        if g.random() < 0.4:
+            meta["json_metadata_extracted"] = g.choice(["true", "true", "false", "0", ""])
+        if g.random() < 0.4:
+            meta["media_type"] = g.choice(["hls", "HLS", "image_snapshot", "rtsp", ""])
+        lat = g.choice([None, None, float(k % 80)])
+        rows.append({"_ord": k, "stream_url": g.choice(urls), "title": g.choice([None, "", f"t{k}"]), "location_text": g.choice([None, f"l{k}"]), "lat": lat, "lon": None if lat is None else 1.0, "metadata": meta})
+    return rows
+
+
+def declared_hls(r):
+    """A declared type goes before the URL's."""
+    declared = (r["metadata"].get("media_type") or "").lower()
+    return declared == "hls" if declared else ".m3u8" in r["stream_url"]
+
+
+def test_fold_of_crowds_matches_a_loop(spark):
+    """URLs of any number of rows, with and without streams in their names, cut by every partition's edge."""
+    schema = "_ord long, stream_url string, title string, location_text string, lat double, lon double, metadata map<string,string>"
+    for seed, n, urls in ((1, 500, ["https://h.example/a.jpg"] * 8 + ["https://h.example/b.m3u8", "https://h.example/c.jpg"]), (2, 300, ["https://h.example/live.m3u8"]), (3, 200, [f"https://h.example/{k}.m3u8" for k in range(60)])):
+        rows = crowd_rows(seed, n, urls)
+        df = spark.createDataFrame(rows, schema).repartition(5)
+        want = plain_fold(rows, declared_hls)
+        for crowd in (0, 20, 10_000):
+            got = {r.stream_url: r.asDict() for r in merge.fold_candidates(df, crowd=crowd).collect()}
+            assert got == want, (seed, crowd)
+
+
 def test_target_merge_keeps_first_and_merges_nothing(spark):
     rows = [(0, 1, "u#first", "t", None), (0, 2, "u#duplicate", "t", "later"), (1, 1, "u", "s", None)]
     out = merge.merge_target_sets(spark.createDataFrame(rows, "set_ord int, _ord long, stream_url string, target_id string, title string")).collect()
