@@ -37,12 +37,13 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     n = F.size(ring)
     flips = F.filter(
         F.sequence(F.lit(1), n),
-        lambda i: _crosses(lat, lon, F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))),
+        lambda i: crosses(lat, lon, F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))),
     )
     return F.when(n >= 3, F.size(flips) % 2 == 1).otherwise(False)
 
 
-def _crosses(lat: Column, lon: Column, p: Column, q: Column) -> Column:
+def crosses(lat: Column, lon: Column, p: Column, q: Column) -> Column:
+    """Whether the edge of two points crosses the line from a point towards greater longitudes."""
     dy = q["lat"] - p["lat"]
     at = (q["lon"] - p["lon"]) * (lat - p["lat"]) / F.when(dy == 0, 1e-12).otherwise(dy) + p["lon"]
     return ((p["lat"] > lat) != (q["lat"] > lat)) & (lon < at)

@@ -23,7 +23,7 @@ TARGET = f"target_id string, target_index int, target_label string, canonical_ta
 
 def few(targets: DataFrame) -> bool:
     """Whether targets may be broadcast: few rows, and few points in their polygons (16 bytes each)."""
-    points = F.size(F.flatten(F.flatten("polygons"))) if "polygons" in targets.columns else F.lit(0)
+    points = F.size(F.flatten(F.flatten("polygons"))) if dict(targets.dtypes).get("polygons") == POLYGONS else F.lit(0)
     size = targets.limit(FEW + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(points, F.lit(0))), F.lit(0)).alias("points")).first()
     return size["n"] <= FEW and size["points"] <= FEW_POINTS
 
@@ -43,8 +43,62 @@ def per_target(records: DataFrame, targets: DataFrame) -> DataFrame:
     return records.crossJoin(F.broadcast(own) if small else own)
 
 
-def scope(lat: Column, lon: Column, bbox: Column, polygons: Column, verified: Column, prefix: str = "") -> Column:
-    """Struct of ``scope_status, rejected, reason``: a verified polygon decides, then a verified box; else review or unknown."""
+#: Edges that a band of a polygon has on average, and most bands of a target.
+BAND_EDGES, BANDS = 16, 1 << 16
+EDGE = "struct<poly:int,ring:int,p:struct<lat:double,lon:double>,q:struct<lat:double,lon:double>>"
+
+
+def _band(lat: Column, low: Column, height: Column, bands: Column) -> Column:
+    """The band of a latitude; it never falls as latitudes rise, so an edge lies in the bands of its ends and those between."""
+    return F.least(bands - 1, F.greatest(F.lit(0), F.floor((lat - low) / height))).cast("int")
+
+
+def polygon_bands(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The targets' polygons cut into bands of latitude.
+
+    ``(frames, bands)``: for each target with a polygon its lowest latitude, the
+    height and number of its bands; and for each band of a target the edges that
+    reach into it.  Points without numbers hold no edge.
+    """
+    rings = targets.filter(F.size("polygons") > 0).select("target_id", F.posexplode("polygons").alias("poly", "rings")).select("target_id", "poly", F.posexplode("rings").alias("ring", "points"))
+    n = F.size("points")
+    # Each point with the one before it; the last one closes the ring.
+    pairs = F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", -1, 1), F.slice("points", F.lit(1), n - 1)).alias("q"))
+    edges = rings.filter(n >= 3).select("target_id", "poly", "ring", F.explode(pairs).alias("e")).select("target_id", "poly", "ring", "e.p", "e.q")
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    edges = edges.filter(whole("p.lat") & whole("p.lon") & whole("q.lat") & whole("q.lon"))
+    frames = edges.groupBy("target_id").agg(F.min("p.lat").alias("low"), F.max("p.lat").alias("high"), F.count("*").alias("n"))
+    frames = frames.withColumn("bands", F.least(F.lit(BANDS), F.ceil(F.col("n") / BAND_EDGES)).cast("int")).withColumn("height", F.greatest((F.col("high") - F.col("low")) / F.col("bands"), F.lit(1e-300)))
+    frames = frames.select("target_id", "low", "height", "bands")
+    at = lambda c: _band(F.col(c), F.col("low"), F.col("height"), F.col("bands"))
+    cut = edges.filter("p.lat <> q.lat").join(frames, "target_id")
+    cut = cut.select("target_id", F.struct("poly", "ring", "p", "q").alias("edge"), F.explode(F.sequence(F.least(at("p.lat"), at("q.lat")), F.greatest(at("p.lat"), at("q.lat")))).alias("band"))
+    return frames, cut.groupBy("target_id", "band").agg(F.collect_list("edge").alias("edges"))
+
+
+def with_inside(df: DataFrame, bands: DataFrame, lat: Column, lon: Column, out: str = "_inside") -> DataFrame:
+    """Adds whether a point is in its target's polygons: within a first ring and none of its other rings.
+
+    ``df`` has ``t_target_id`` and the frame's columns as ``t_low, t_height, t_bands``.
+    A point meets the edges of its own band alone, by an equi-join; no other edge can
+    cross its latitude, so the even-odd rule over these is exact.
+    """
+    own = F.when(F.col("t_bands").isNotNull() & lat.isNotNull() & lon.isNotNull(), _band(lat, F.col("t_low"), F.col("t_height"), F.col("t_bands")))
+    met = df.withColumn("_own_band", own).join(bands.select(F.col("target_id").alias("_b_target"), F.col("band").alias("_b_band"), "edges"), (F.col("t_target_id") == F.col("_b_target")) & (F.col("_own_band") == F.col("_b_band")), "left")
+    crossed = F.transform(F.filter("edges", lambda e: G.crosses(lat, lon, e["p"], e["q"])), lambda e: F.struct(e["poly"].alias("poly"), e["ring"].alias("ring")))
+    met = met.withColumn("_crossed", crossed)
+    odd = F.filter(F.array_distinct("_crossed"), lambda x: F.size(F.filter("_crossed", lambda y: y == x)) % 2 == 1)
+    met = met.withColumn("_odd", odd)
+    inside = F.exists("_odd", lambda x: (x["ring"] == 0) & ~F.exists("_odd", lambda y: (y["poly"] == x["poly"]) & (y["ring"] > 0)))
+    return met.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_own_band", "_b_target", "_b_band", "edges", "_crossed", "_odd")
+
+
+def scope(lat: Column, lon: Column, bbox: Column, polygons: Column, verified: Column, prefix: str = "", inside: Column | None = None) -> Column:
+    """Struct of ``scope_status, rejected, reason``: a verified polygon decides, then a verified box; else review or unknown.
+
+    ``inside``: whether the point is in the polygons, if that is known (``with_inside``).
+    """
+    within = G.in_polygons(lat, lon, polygons) if inside is None else inside
     located = lat.isNotNull() & lon.isNotNull()
     verified = F.coalesce(verified, F.lit(False))
     shape, box = located & verified & F.coalesce(F.size(polygons) > 0, F.lit(False)), located & verified & bbox.isNotNull()
@@ -53,7 +107,7 @@ def scope(lat: Column, lon: Column, bbox: Column, polygons: Column, verified: Co
         return F.struct(F.lit(status).alias("scope_status"), F.lit(rejected).alias("rejected"), F.lit(prefix + reason).alias("reason"))
 
     return (
-        F.when(shape, F.when(G.in_polygons(lat, lon, polygons), r("in_scope", False, "coordinate_inside_verified_target_polygon")).otherwise(r("out_of_scope", True, "coordinate_outside_verified_target_polygon")))
+        F.when(shape, F.when(within, r("in_scope", False, "coordinate_inside_verified_target_polygon")).otherwise(r("out_of_scope", True, "coordinate_outside_verified_target_polygon")))
         .when(box, F.when(G.in_box(lat, lon, bbox), r("in_scope", False, "coordinate_inside_verified_bbox")).otherwise(r("out_of_scope", True, "coordinate_outside_verified_bbox")))
         .when(located, r("review", False, "coordinate_available_but_target_bbox_untrusted_or_missing"))
         .otherwise(r("unknown", False, "missing_candidate_coordinates"))
@@ -61,9 +115,17 @@ def scope(lat: Column, lon: Column, bbox: Column, polygons: Column, verified: Co
 
 
 def scoped(df: DataFrame, targets: DataFrame, prefix: str = "") -> DataFrame:
-    """Candidates with ``scope_status``, and rejected where they are outside."""
-    both = with_target(df, targets)
-    s = scope(F.col("lat"), F.col("lon"), F.col("t_bbox"), F.col("t_polygons"), F.col("t_bbox_verified"), prefix)
+    """Candidates with ``scope_status``, and rejected where they are outside.
+
+    Targets go to candidates without their polygons, of which a candidate meets the
+    edges in its band of latitude; a target may have any number of edges.
+    """
+    frames, bands = polygon_bands(targets)
+    # Whether there is a polygon; its points stay behind.
+    light = targets.withColumn("polygons", F.size("polygons") > 0).join(frames, "target_id", "left")
+    both = with_inside(with_target(df, light), bands, F.col("lat"), F.col("lon"))
+    shape = F.when(F.col("t_polygons"), F.array(F.lit(1)))
+    s = scope(F.col("lat"), F.col("lon"), F.col("t_bbox"), shape, F.col("t_bbox_verified"), prefix, F.col("_inside"))
     out = both.withColumn("_scope", s)
     trust = F.when(F.col("_scope.rejected"), "rejected").otherwise(F.col("trust_level"))
     reasons = F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array("_scope.reason"))

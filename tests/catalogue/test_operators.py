@@ -1,5 +1,6 @@
 """Policy, merges, caps, scope, trust, targets, sources, streaming."""
 
+import math
 import random
 
 import pytest
@@ -222,6 +223,58 @@ def test_joint_budgets_match_a_loop(spark):
         assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_rules_give_the_reasons_of_the_expression(spark, monkeypatch):
+    g = random.Random(4)
+    label = lambda: "".join(g.choice("abc") for _ in range(g.randrange(1, 3)))
+    made = lambda: g.choice([f"{label()}.{label()}.org", f"*.{label()}.org", f"*{label()}*.org", f"{label()}.?{label()}.org", f"/{label()}/", f"{label()}/*{label()}", f"https://{label()}.*", f"http://{label()}.{label()}.org/{label()}", "[ab]c.org", "*.[!a].org", f"{label()}/[a-b]x"])
+    rules = [Rule(made(), g.choice([None, f"r{k}"])) for k in range(120)]
+    urls = [None, "", "not a url"] + [f"{g.choice(['http', 'https', 'HTTPS'])}://{g.choice(['', 'u@'])}{'.'.join(label() for _ in range(g.randrange(1, 4)))}.{g.choice(['org', 'ORG', 'net'])}{g.choice(['', ':80'])}/{label()}/{label()}{g.choice(['', 'x', '/' + label()])}" for _ in range(400)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for some in (rules, rules[60:], rules[100:]):
+        got = []
+        for few in (1000, 0):
+            monkeypatch.setattr(policy, "FEW_RULES", few)
+            got.append([r.r for r in df.select(policy.block_reason(F.col("url"), some).alias("r")).collect()])
+        assert got[0] == got[1] and sum(x is not None for x in got[0]) > 50
+
+
+def test_ten_thousand_rules(spark):
+    rules = [Rule(f"h{k}.example.org") for k in range(9000)] + [Rule(f"*/p{k}/list") for k in range(1000)]
+    df = spark.range(20_000).select(F.concat(F.lit("https://x.h"), F.col("id"), F.lit(".example.org/p"), F.col("id") - 15_000, F.lit("/list")).alias("url"))
+    got = df.select(policy.block_reason(F.col("url"), rules).alias("r")).groupBy(F.col("r").isNull().alias("open")).count().collect()
+    assert {r.open: r["count"] for r in got} == {False: 10_000, True: 10_000}
+
+
+def test_scope_by_bands_is_that_of_the_polygons(spark):
+    g = random.Random(8)
+
+    def ring(cx, cy, r, n):
+        return [(cx + r * (0.4 + g.random()) * math.cos(2 * math.pi * k / n), cy + r * (0.4 + g.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    flat = [(1.0, 1.0), (5.0, 1.0), (5.0, 1.0)]
+    shapes = {"a": [[ring(0, 0, 30, 400), ring(0, 0, 8, 50)], [ring(60, 20, 10, 7)]], "b": [[[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]], [[(1.0, 1.0)]], []], "c": [[flat]], "d": None, "e": []}
+    points = lambda v: None if v is None else [[[{"lon": x, "lat": y} for x, y in r] for r in p] for p in v]
+    rows = [{"target_id": k, "polygons": points(v), "bbox": None, "bbox_verified": True} for k, v in shapes.items()]
+    targets = spark.createDataFrame(rows, f"target_id string, bbox struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>, polygons {scope.POLYGONS}, bbox_verified boolean")
+    spots = [(k, g.choice("abcdez"), g.choice([None, g.uniform(-40, 40), float(g.randrange(-2, 12))]), g.uniform(-40, 75) if k % 3 else float(g.randrange(-2, 12))) for k in range(3000)]
+    df = spark.createDataFrame(spots, "_ord long, target_id string, lat double, lon double").withColumns({"scope_status": F.lit("x"), "trust_level": F.lit("untrusted"), "reasons": F.array().cast("array<string>")})
+    plain = scope.with_target(df, targets).select("_ord", scope.scope(F.col("lat"), F.col("lon"), F.col("t_bbox"), F.col("t_polygons"), F.col("t_bbox_verified"))["scope_status"])
+    got = scope.scoped(df, targets).select("_ord", "scope_status")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert got.filter("scope_status = 'in_scope'").count() > 100
+
+
+def test_scope_of_a_polygon_of_many_points(spark):
+    n = 100_000
+    targets = spark.range(1).select(F.lit("t").alias("target_id"), F.lit(None).cast("struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>").alias("bbox"), F.lit(True).alias("bbox_verified"), F.array(F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((20 * F.cos(2 * math.pi * k / n)).alias("lon"), (20 * F.sin(2 * math.pi * k / n)).alias("lat"))))).cast(scope.POLYGONS).alias("polygons"))
+    df = spark.range(20_000).select(F.col("id").alias("_ord"), F.lit("t").alias("target_id"), (F.rand(1) * 60 - 30).alias("lat"), (F.rand(2) * 60 - 30).alias("lon"), F.lit("").alias("scope_status"), F.lit("").alias("trust_level"), F.array().cast("array<string>").alias("reasons"))
+    out = scope.scoped(df, targets)
+    far = F.sqrt(F.col("lat") ** 2 + F.col("lon") ** 2)
+    wrong = out.filter((F.abs(far - 20) > 0.001) & ((far < 20) != (F.col("scope_status") == "in_scope")))
+    assert wrong.count() == 0
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_joint_budgets_of_no_rows(spark):
     df = spark.createDataFrame([], "run_id string, _ord long, provider string, host string, failed boolean")
     assert admit.joint_budgets(df, 5, {"blind": 3}, 2).collect() == []
