@@ -20,6 +20,11 @@ lowered paths under the threshold, and other marked elements with hardly any tex
 are left.  Where no element is marked, what lies between the selected paths under
 the same parents is filled in.
 
+A page is read in time and memory in proportion to its size: elements beyond
+``DEPTH`` levels become siblings of the last one, as browsers have it; behind the
+last ``>`` there is no tag; and where ``BROKEN`` tags have no end outside of quotes,
+quotes no longer count.
+
 Edge cases: null or empty html, or a page without content, gives an empty text;
 unclosed elements, comments and scripts end with the page; paths that tie are
 selected alike; ids and urls are returned as they are, rows may repeat, and other
@@ -61,6 +66,10 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[,.;:!?…。，、！？；：]")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: The same where quotes don't count; the groups keep their numbers.
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|(?!)()()()", re.S)
+#: Tags without an end outside of quotes after which a page's quotes no longer count, and most levels of elements.
+BROKEN, DEPTH = 16, 256
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Names that tell what a layout has or lacks ("no-sidebar") rather than what it is.
 STATE = re.compile(r"(?i)(?:no|has|with|without|is|hide|show)[-_]")
@@ -167,11 +176,17 @@ def cut(page: str) -> tuple[list[Block], Elements]:
     elements = Elements()
     blocks: list[Block] = []
     now: Block | None = None
-    dropped = links = marked = at = 0
+    dropped = links = marked = at = broken = 0
+    open_: dict[str, int] = {}
+    # Of each level: path, marks, line of elements and weight of what stands in it; alike paths are one object.
+    frames: list[tuple[tuple, tuple, tuple, float]] = [((), (), (), 1.0)]
+    paths: dict[tuple, tuple] = {}
 
     def pop() -> None:
         nonlocal dropped, marked
-        _, mark, _, _ = stack.pop()
+        tag, mark, _, _ = stack.pop()
+        frames.pop()
+        open_[tag] -= 1
         dropped -= mark < 0
         marked -= mark == 2
 
@@ -182,15 +197,20 @@ def cut(page: str) -> tuple[list[Block], Elements]:
         if now is None:
             if text.isspace():
                 return
-            now = Block(tuple(x[0] for x in stack), tuple((m, n) for _, m, n, _ in stack if m > 0), tuple(x[2] for x in stack), min((x[3] for x in stack), default=1.0))
+            now = Block(*frames[-1])
             blocks.append(now)
         now.parts.append(text)
         if links:
             now.links += len(text)
 
-    while m := TOKEN.search(page, at):
+    # No tag ends behind the last ">", so none is looked for there.
+    last = page.rfind(">") + 1
+    while m := (TOKEN if broken < BROKEN else UNQUOTED).search(page, at, last):
         add(page[at : m.start()])
         at = m.end()
+        broken += m[5] is not None
+        if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -201,7 +221,7 @@ def cut(page: str) -> tuple[list[Block], Elements]:
         if tag in RAW:
             now = None if tag in ("script", "style", "noscript", "template", "title") and now is None else now
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
                 at = end.end() if end else len(page)
             continue
         if tag in INLINE:
@@ -214,7 +234,7 @@ def cut(page: str) -> tuple[list[Block], Elements]:
         if tag in VOID:
             continue
         if closing:
-            if any(x[0] == tag for x in stack):
+            if open_.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -230,14 +250,21 @@ def cut(page: str) -> tuple[list[Block], Elements]:
                 pop()
         if attributes.endswith("/"):
             continue
+        while len(stack) >= DEPTH:
+            pop()
         mark, weight = _mark(tag, attributes, marked > 0)
         number = elements.add(stack[-1][2] if stack else 0, tag, attributes)
         if attributes and SIGNED.search(attributes):
             elements.holds[number] |= Elements.SIGNED
         stack.append((tag, mark, number, weight))
+        open_[tag] = open_.get(tag, 0) + 1
+        path, marks, line, least = frames[-1]
+        path += (tag,)
+        frames.append((paths.setdefault(path, path), marks + ((mark, number),) if mark > 0 else marks, line + (number,), min(least, weight)))
         dropped += mark < 0
         marked += mark == 2
-    add(page[at:])
+    rest = page.find("<!--", max(at, last))  # a comment that nothing ends
+    add(page[at:] if rest < 0 else page[at:rest])
     for b in blocks:
         b.text = SPACES.sub(" ", entities.unescape("".join(b.parts))).strip()
     return [b for b in blocks if b.text], elements
@@ -301,7 +328,8 @@ def main_text(page: str | None) -> str:
         for _, n in b.marks:
             held[n] = held.get(n, 0) + own
     # A mere word in a class is weaker evidence than text: its element must hold most of the page's score.
-    marks = [[(m, n) for m, n in b.marks if m == 2 or held[n] >= 0.5 * sum(mass)] for b in blocks]
+    half = 0.5 * sum(mass)
+    marks = [[(m, n) for m, n in b.marks if m == 2 or held[n] >= half] for b in blocks]
     score = [plain[b.key] * b.weight * BONUS[max((m for m, _ in own), default=0)] for b, own in zip(blocks, marks)]
     limit = THRESHOLD * max(score)
     good = [i for i, v in enumerate(score) if v >= limit]
@@ -309,9 +337,13 @@ def main_text(page: str | None) -> str:
     top = max((m for i in good for m, _ in marks[i]), default=0)
     if top:
         chosen = {next(n for m, n in marks[i] if m == top) for i in good if any(m == top for m, _ in marks[i])}
-        chosen = {n for n in chosen if held[n] >= SOME * max(held[x] for x in chosen)}
+        richest = max(held[n] for n in chosen)
+        chosen = {n for n in chosen if held[n] >= SOME * richest}
         if len(chosen) > 1:
-            holding = {n: next(b for b in blocks if n in b.line) for n in chosen}
+            holding: dict[int, Block] = {}
+            for b in blocks:
+                for n in chosen.intersection(b.line):
+                    holding.setdefault(n, b)
             around = _shared_element([b.line[: b.line.index(n)] for n, b in holding.items()], next(iter(holding.values())).path)
             chosen |= {around} if around else set()
         length: dict[tuple, int] = {}

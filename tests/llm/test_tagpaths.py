@@ -1,3 +1,5 @@
+import time
+
 from ocelli.llm import tagpaths as T
 
 
@@ -187,3 +189,32 @@ def test_odd_rows_with_clashing_names(odd, none):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == odd.count()
     assert {r.n_chars for r in out.filter("text = ''").collect()} == {0}
     assert T.extract(none, "doc_id", "source", "text").collect() == []
+
+
+def test_malformed_pages_take_time_in_proportion():
+    n = 1 << 20
+    pages = {
+        "unterminated": "<a " * (n // 3),
+        "terminated once": "<p>text " + "<a " * (n // 3) + ">",
+        "open quotes": '<a "x>x"' * (n // 8),
+        "one kind of quote": "<a '>" * (n // 5),
+        "unclosed": "<div>some text, here " * (n // 21),
+        "nested": "<div>" * 300 + "<p>word, word." * (n // 14),
+        "unmatched": "</section>x" * (n // 11),
+        "deep and unmatched": "<div>" * (n // 16) + "</section>x" * (n // 16),
+        "script ends": "<script></script " * (n // 17),
+        "comments": "<!-- " * (n // 5),
+        "declarations": "<! " * (n // 3),
+        "articles": "<article><p>Some words, and more of them here.</p></article>" * (n // 60),
+    }
+    for name, page in pages.items():
+        began = time.process_time()
+        T.main_text(page)
+        assert time.process_time() - began < 8, name
+
+
+def test_ends_of_pages_stay():
+    assert T.main_text("<p>One, two.</p><p>a <b>c</b> < d <!-- open <p>x</p>") == "One, two.\na c < d"
+    assert T.main_text("<p>One, two, three.</p> and <a href=") == "One, two, three.\nand <a href="
+    assert T.main_text("<p>One, two, three.</p> and <!-- no end") == "One, two, three.\nand"
+    assert T.main_text("<p>One, two.</p><script>var a = '<p>';") == "One, two."
