@@ -266,8 +266,8 @@ def test_scope_by_bands_is_that_of_the_polygons(spark):
 
 def test_scope_of_a_polygon_of_many_points(spark):
     n = 100_000
-    targets = spark.range(1).select(F.lit("t").alias("target_id"), F.lit(None).cast("struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>").alias("bbox"), F.lit(True).alias("bbox_verified"), F.array(F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((20 * F.cos(2 * math.pi * k / n)).alias("lon"), (20 * F.sin(2 * math.pi * k / n)).alias("lat"))))).cast(scope.POLYGONS).alias("polygons"))
-    df = spark.range(20_000).select(F.col("id").alias("_ord"), F.lit("t").alias("target_id"), (F.rand(1) * 60 - 30).alias("lat"), (F.rand(2) * 60 - 30).alias("lon"), F.lit("").alias("scope_status"), F.lit("").alias("trust_level"), F.array().cast("array<string>").alias("reasons"))
+    targets = spark.range(1).select(F.when(F.col("id") >= 0, "t").alias("target_id"), F.lit(None).cast("struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>").alias("bbox"), F.lit(True).alias("bbox_verified"), F.array(F.array(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((20 * F.cos(2 * math.pi * k / n)).alias("lon"), (20 * F.sin(2 * math.pi * k / n)).alias("lat"))))).cast(scope.POLYGONS).alias("polygons"))
+    df = spark.range(20_000).select(F.col("id").alias("_ord"), F.when(F.col("id") >= 0, "t").alias("target_id"), (F.rand(1) * 60 - 30).alias("lat"), (F.rand(2) * 60 - 30).alias("lon"), F.lit("").alias("scope_status"), F.lit("").alias("trust_level"), F.array().cast("array<string>").alias("reasons"))
     out = scope.scoped(df, targets)
     far = F.sqrt(F.col("lat") ** 2 + F.col("lon") ** 2)
     wrong = out.filter((F.abs(far - 20) > 0.001) & ((far < 20) != (F.col("scope_status") == "in_scope")))
