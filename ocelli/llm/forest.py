@@ -185,7 +185,7 @@ def _block_key(low: int, tree: int, k: int) -> np.uint64:
 def _grower(least: int, least_depth: int):
     """(kind, centre, node, block).  Kind 0: nodes of a cluster of candidates, and a block of it (null: none from this tree); kind 1: nodes of a region that was cut, named by ``centre``; ``block`` tells its pieces apart."""
 
-    def regions(tree: np.ndarray, label: np.ndarray, node: np.ndarray, sig: np.ndarray, piece: int):
+    def regions(tree: np.ndarray, label: np.ndarray, node: np.ndarray, sig: np.ndarray, piece: int, begins: bool, ends: bool):
         n = len(node)
         new = np.ones(n, bool)
         new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :least_depth] != label[:-1, :least_depth]).any(1)
@@ -204,9 +204,10 @@ def _grower(least: int, least_depth: int):
             for x, y in _dense(label, sig, np.arange(f, f + m), least_depth, least):
                 a.append(x)
                 b.append(y)
-        # Regions that were not compared in whole here, or that may go on in another piece.
+        # Regions that were not compared in whole here, or that may go on in another task or piece.
         open_ = size > REGION
-        open_[0] = open_[-1] = True
+        open_[0] |= begins
+        open_[-1] |= ends
         for f, m in zip(first[open_], size[open_]):
             own = -1 - int.from_bytes(bytes([tree[f], *label[f, :least_depth]]), "big")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 1, np.int32)), pa.array(np.full(m, own)), pa.array(node[f : f + m]), pa.array(np.full(m, piece))], _FOUND)
@@ -230,6 +231,7 @@ def _grower(least: int, least_depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, piece = None, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        cut = True  # whether the first region may have begun before
         for batch in batches:
             now = (batch.column(0).to_numpy(), _matrix(batch.column(1), LABEL), batch.column(2).to_numpy(), _matrix(batch.column(3), COMPONENTS))
             if held is not None:
@@ -240,11 +242,12 @@ def _grower(least: int, least_depth: int):
             last = (now[0] == now[0][-1]) & (now[1][:, :least_depth] == now[1][-1, :least_depth]).all(1)
             at = int(np.argmax(last)) if last.sum() < HELD else len(last)
             if at:
-                yield from regions(*(x[:at] for x in now), piece)
-                piece += 1
+                ends = at == len(last)
+                yield from regions(*(x[:at] for x in now), piece, cut, ends)
+                piece, cut = piece + 1, ends
             held = tuple(x[at:] for x in now)
         if held is not None and len(held[0]):
-            yield from regions(*held, piece)
+            yield from regions(*held, piece, cut, True)
 
     return run
 
@@ -426,8 +429,8 @@ def _completed(spark, label: DataFrame, crowd: DataFrame, nodes: DataFrame, text
     near = (F.col("low") * percent <= F.col("h") * 100) & (F.col("l") * percent <= F.col("high") * 100)
     pairs = all_.select("crowd", "pack", "low", "high").join(left, "crowd").filter(near).select("pack", "p", F.pmod(F.xxhash64("pack"), F.lit(salts)).alias("salt"))
     whole = pairs.join(all_.select("pack", F.col("blob").alias("blob2")), "pack")
-    # A pack of stragglers meets all packs of its crowd, so it is salted.
-    dealt = odd.select(F.col("pack").alias("p"), "blob", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # A pack of stragglers may meet all packs of its crowd, so it is salted, with a copy for each salt of its pairs.
+    dealt = odd.select(F.col("pack").alias("p"), "blob").join(pairs.select("p", "salt").distinct(), "p")
     met = whole.join(dealt, ["p", "salt"]).select("blob", "blob2")
     more = written(components(met.mapInArrow(_comparer(percent), "a long, b long")), "forest-more")
     known = label.select("node", F.col("label").alias("old")).join(more.select(F.col("node").alias("old"), F.col("label").alias("new")), "old", "left").select("node", F.coalesce("new", "old").alias("label"))

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ocelli.llm import components, forest
@@ -154,3 +155,16 @@ def test_crowds_lose_no_link(spark, tmp_path, n, pendants, chain):
     rows = crowd_rows(n, pendants, chain)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/d")
     assert got(forest.report(spark.read.parquet(f"{tmp_path}/d"), 3, 85)) == by_matrix(rows, 3, 85)
+
+
+def test_only_regions_that_a_task_cuts_stay_open():
+    """Batches are cut between regions, so they open none; a task's first and last region may go on elsewhere."""
+    r = np.random.default_rng(7)
+    n, depth = 600, 2
+    label = np.sort(r.integers(0, 40, n)).astype(np.uint8)
+    rows = [bytes([x, 0, *r.integers(0, 256, forest.LABEL - 2)]) for x in label]
+    sigs = [bytes(r.integers(0, 256, forest.COMPONENTS).astype(np.uint8)) for _ in range(n)]
+    for size in (7, 50, 600):
+        batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(rows[i : i + size]), pa.int32()), pa.array(rows[i : i + size], pa.binary()), pa.array(range(i, min(n, i + size)), pa.int64()), pa.array(sigs[i : i + size], pa.binary())], ["tree", "label", "node", "sig"]) for i in range(0, n, size)]
+        found = [x for b in forest._grower(forest.COMPONENTS, depth)(iter(batches)) for x in b.to_pylist() if x["kind"] == 1]
+        assert {x["node"] for x in found} == set(np.flatnonzero((label == label[0]) | (label == label[-1])))
