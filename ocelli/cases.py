@@ -6,6 +6,7 @@ SQL states the answer to each.  Every row of the table is used.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from .operators import rank, scope, sinks, summarize, targets, trust
 from .operators.policy import safe_query
 from .sources import rows as R
 from .sources import search
+from .sources.features import read_features
+from .staging import folder
 
 
 def literal(v) -> str:
@@ -591,3 +594,17 @@ def refereed_answers(spark: SparkSession, d: str) -> DataFrame:
     own = both.select(F.col("n_nationkey").alias("query_id"), "index", (F.col("index") + 20.0).alias("score"), (F.col("index") == 2).alias("rejected"))
     said = both.select(F.col("n_nationkey").alias("query_id"), "index", F.lit(1).alias("_ord"), F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'Accept' WHEN 1 THEN 'reject' ELSE 'unsure' END").alias("recommendation"), F.lit(0.5).alias("confidence"))
     return trust.refereed(own, said).select(F.col("query_id").alias("n_nationkey"), F.col("index").alias("i"), "score")
+
+
+@query("SELECT c_nationkey::INTEGER AS file, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS feature_ord, 'Point' AS geometry_type, ((c_custkey * 7919 % 3600) / 10.0 - 180)::DOUBLE AS lon, ((c_custkey * 104729 % 1800) / 10.0 - 90)::DOUBLE AS lat, c_name || ' }{\"[' || c_custkey AS name FROM customer")
+def feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """S-29 by splits: customers written as a collection for each nation, and read again."""
+    lon, lat = ((F.col("c_custkey") * a % m / F.lit(10.0) - b).cast("double") for a, m, b in ((7919, 3600, 180), (104729, 1800, 90)))
+    name = F.concat("c_name", F.lit(' }{"['), F.col("c_custkey").cast("string"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"), F.struct(name.alias("name")).alias("properties"))
+    own = t(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("o"), F.concat(F.lit(","), F.to_json(feature)).alias("value"))
+    nations = own.select("c_nationkey").distinct()
+    ends = [nations.select("c_nationkey", F.lit(o).cast("long").alias("o"), F.lit(v).alias("value")) for o, v in ((-1, '{"type": "FeatureCollection", "features": [null'), (2**62, "]}"))]
+    path = f"{folder(spark)}/collections-{uuid.uuid4().hex}"
+    own.unionByName(ends[0]).unionByName(ends[1]).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "o").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return read_features(spark, path).select(F.regexp_extract("source_geojson", r"c_nationkey=(\d+)", 1).cast("int").alias("file"), "feature_ord", "geometry_type", "lon", "lat", F.col("properties")["name"].alias("name"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import read_features
+
 ASSETS = "array<struct<asset_id:string,camera_record_id:string,url:string,media_url:string,media_type:string,asset_role:string,asset_field:string,source_url:string,source_endpoint_url:string,source_page_url:string,source_provider:string,source_name:string,discovery_method:string,json_record_path:string,field_path:string,title:string,location_text:string,coordinate_source:string,lat:string,lon:string,metadata:string>>"
 RECORD = (
     "camera_record_id string, camera_id string, url string, media_type string, title string, description string, location_text string, lat string, lon string, coordinate_source string, direction string, "
@@ -57,13 +59,17 @@ def read_handoff(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return parsed.select("r.*", "_ord"), info
 
 
+#: Bytes up to which a GeoJSON file is read as one row; larger ones are read by splits, to the same rows.
+WHOLE = 16_000_000
 FEATURES = "struct<type:string,features:array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
 
 
 def read_geojson(spark: SparkSession, *paths: str) -> DataFrame:
     """Features of some files: ``source_geojson, feature_ord, geometry_type, lon, lat, properties``."""
+    if not spark.read.format("binaryFile").load(list(paths)).filter(F.col("length") > WHOLE).isEmpty():
+        return read_features(spark, *paths)
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("source_geojson"), F.from_json("value", FEATURES).alias("c"))
-    rows = files.select("source_geojson", F.posexplode("c.features").alias("feature_ord", "f"))
+    rows = files.select("source_geojson", F.posexplode(F.filter("c.features", lambda f: f.isNotNull())).alias("feature_ord", "f"))
     at = lambda k: F.get_json_object("f.geometry.coordinates", f"$[{k}]").try_cast("double")
     return rows.select("source_geojson", "feature_ord", F.col("f.geometry.type").alias("geometry_type"), at(0).alias("lon"), at(1).alias("lat"), F.col("f.properties").alias("properties"))
 
