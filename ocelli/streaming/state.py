@@ -23,6 +23,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.status import images_differ
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHUFFLES = "spark.sql.shuffle.partitions"
+#: Bytes of input for each store of a stateful step.
+STORE_BYTES = 64 << 20
 #: Moments are kept as microseconds.
 SAMPLE = "sampled_at long, etag string, last_modified string, body_sha string"
 
@@ -109,21 +112,41 @@ def deciles(events: DataFrame, span: str = "1 minute", late: str = "1 minute") -
     return stateful(flat, ["target_id", "event"], Rises(), out)
 
 
-def settle(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def settle(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
     """Runs a stream over all that has arrived, appends its rows to a table at ``path``, and reads that.
 
-    Called again with the same folders it takes what has arrived since.
+    Called again with the same folders it takes what has arrived since.  ``partitions`` is
+    the number of stores that each stateful step is dealt to, the session's number of
+    shuffle partitions if not given; a checkpoint keeps that of its first start.
     """
-    done = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = stream.sparkSession.conf
+    usual = conf.get(SHUFFLES)
+    if partitions:
+        conf.set(SHUFFLES, partitions)
+    try:  # a query takes the settings of its start
+        done = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(SHUFFLES, usual)
     done.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def settled(spark: SparkSession, stream: Callable[[], DataFrame] | DataFrame, name: str) -> DataFrame:
+def stores(spark: SparkSession, arrived: DataFrame) -> int:
+    """How many stores to deal a stateful step to, by the size of what has arrived.
+
+    Each store opens and commits a database of its own in every batch, whether rows come
+    to it or not, so a small table in the session's number of stores spends its time on
+    empty ones.  One for each core at least, and the session's number at most.
+    """
+    size = int(str(arrived._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(int(spark.conf.get(SHUFFLES)), max(spark.sparkContext.defaultParallelism, size // STORE_BYTES)))
+
+
+def settled(spark: SparkSession, stream: Callable[[], DataFrame] | DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``settle`` with folders of its own in the shared folder."""
     import uuid
 
     from ..staging import folder
 
     own = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    return settle(stream() if callable(stream) else stream, f"{own}/rows", f"{own}/checkpoint")
+    return settle(stream() if callable(stream) else stream, f"{own}/rows", f"{own}/checkpoint", partitions)

@@ -25,6 +25,10 @@ SAMPLES = {
 }
 
 
+def stores(spark: SparkSession, d: str) -> int:
+    return state.stores(spark, spark.read.parquet(f"{d}/events.parquet"))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as it arrives; the pattern finds a file as well as a folder, which a plain path as a stream doesn't."""
     return spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -39,7 +43,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 def sample_refreshes(spark: SparkSession, d: str) -> DataFrame:
     """X-05 as a stream: each image sample against the one before."""
     samples = events(spark, d).select(F.col("ts").alias("sampled_at"), *[F.expr(v).alias(k) for k, v in SAMPLES.items()])
-    done = state.settled(spark, state.refreshed(samples, "1 hour", "1 hour"), "refreshes")
+    done = state.settled(spark, state.refreshed(samples, "1 hour", "1 hour"), "refreshes", stores(spark, d))
     return done.withColumn("sampled_at", F.date_format("sampled_at", MOMENT))
 
 
@@ -54,5 +58,5 @@ def sample_refreshes(spark: SparkSession, d: str) -> DataFrame:
 def decile_reports(spark: SparkSession, d: str) -> DataFrame:
     """X-02, X-04 as a stream: when a target's progress reaches each new tenth of its total."""
     made = events(spark, d).selectExpr("'t' || (user_id % 7) AS target_id", "event_type AS event", "ts", "CASE WHEN event_id % 11 > 0 THEN event_id END AS processed", "CASE WHEN event_id % 4 > 0 THEN 4000 + user_id END AS total")
-    done = state.settled(spark, state.deciles(made, "1 hour", "1 hour"), "deciles")
+    done = state.settled(spark, state.deciles(made, "1 hour", "1 hour"), "deciles", stores(spark, d))
     return done.withColumn("span_start", F.date_format("span_start", MOMENT))

@@ -68,3 +68,21 @@ def test_empty_streams(spark, tmp_path):
     none.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
     assert state.settle(state.deciles(stream), str(tmp_path / "rows"), str(tmp_path / "c")).count() == 0
+
+
+def test_stores_follow_the_size_of_the_input(spark, monkeypatch):
+    rows = spark.createDataFrame([("t", "e", 1, 2, T0)] * 50, EVENTS)
+    usual = int(spark.conf.get(state.SHUFFLES))
+    cores = spark.sparkContext.defaultParallelism
+    assert state.stores(spark, rows) == min(usual, cores)
+    monkeypatch.setattr(state, "STORE_BYTES", 1)
+    assert state.stores(spark, rows) == usual
+
+
+def test_settle_leaves_the_session_as_it_was(spark, tmp_path):
+    spark.createDataFrame([("t", "e", 1, 2, T0), ("t", "e", 2, 2, T0 + dt.timedelta(hours=9))], EVENTS).write.parquet(str(tmp_path / "in"))
+    usual = spark.conf.get(state.SHUFFLES)
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    assert state.settle(state.deciles(stream), str(tmp_path / "rows"), str(tmp_path / "c"), 2).count() == 1
+    assert spark.conf.get(state.SHUFFLES) == usual
+    assert len(list((tmp_path / "c" / "state" / "0").glob("[0-9]*"))) == 2
