@@ -7,6 +7,7 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -466,10 +467,14 @@ def _flagged(df: DataFrame) -> DataFrame:
 KIND = f"CASE WHEN {LOW} LIKE '%.m3u8%' THEN 'hls' WHEN {LOW} LIKE '%.jpg' THEN 'image_snapshot' ELSE 'unknown_media' END"
 
 
-@query(
-    f"WITH {CAM_SQL}, b AS (SELECT *, {KIND} AS k, coalesce({TRUSTED}, false) AS g FROM cam), p AS (SELECT _ord, 'trusted_media' AS playlist FROM b WHERE g AND k = 'hls' UNION ALL SELECT _ord, 'untrusted_review_media' FROM b WHERE lat IS NOT NULL AND NOT g AND k = 'hls' UNION ALL SELECT _ord, 'hls_candidates' FROM b WHERE k = 'hls' "
-    f"UNION ALL SELECT _ord, 'live_or_reachable_media' FROM b WHERE k = 'hls' AND {STATE} IN ('active_live_verified', 'active_image_snapshot_refreshing') UNION ALL SELECT _ord, 'dead_or_restricted_media' FROM b WHERE {STATE} IN ('dead_link', 'decode_failed', 'static_image_asset', 'restricted_http', 'auth_required_rtsp') UNION ALL SELECT _ord, 'image_snapshots' FROM b WHERE k = 'image_snapshot') SELECT playlist, count(*)::BIGINT AS n, min(_ord) AS first FROM p GROUP BY playlist"
+#: Which list holds which row, as SQL.
+LISTED_SQL = (
+    f"{CAM_SQL}, b AS (SELECT *, {KIND} AS k, coalesce({TRUSTED}, false) AS g FROM cam), p AS (SELECT _ord, 'trusted_media' AS playlist FROM b WHERE g AND k = 'hls' UNION ALL SELECT _ord, 'untrusted_review_media' FROM b WHERE lat IS NOT NULL AND NOT g AND k = 'hls' UNION ALL SELECT _ord, 'hls_candidates' FROM b WHERE k = 'hls' "
+    f"UNION ALL SELECT _ord, 'live_or_reachable_media' FROM b WHERE k = 'hls' AND {STATE} IN ('active_live_verified', 'active_image_snapshot_refreshing') UNION ALL SELECT _ord, 'dead_or_restricted_media' FROM b WHERE {STATE} IN ('dead_link', 'decode_failed', 'static_image_asset', 'restricted_http', 'auth_required_rtsp') UNION ALL SELECT _ord, 'image_snapshots' FROM b WHERE k = 'image_snapshot')"
 )
+
+
+@query(f"WITH {LISTED_SQL} SELECT playlist, count(*)::BIGINT AS n, min(_ord) AS first FROM p GROUP BY playlist")
 def playlist_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = sinks.playlist_rows(_flagged(cams(spark, d)), [])
     return rows.groupBy("playlist").agg(F.count("*").alias("n"), F.min("_ord").alias("first"))
@@ -486,6 +491,23 @@ def playlist_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.m3u_lines(cams(spark, d).withColumn("playlist", F.lit("all")), "g").select("_ord", "k", "value")
 
 
+@query(
+    f"WITH {LISTED_SQL}, t AS (SELECT p.playlist, stream_url AS u, coalesce(title, location_text, stream_url) AS x FROM p JOIN cam USING (_ord)), "
+    "l AS (SELECT playlist || '.txt' AS file, u AS value FROM t UNION ALL SELECT playlist || '.m3u', unnest(['#EXTINF:-1 tvg-name=\"' || x || '\" group-title=\"' || playlist || '\",' || x, u]) FROM t WHERE playlist NOT IN ('dead_or_restricted_media', 'image_snapshots') "
+    "UNION ALL SELECT unnest(['trusted_media', 'untrusted_review_media', 'hls_candidates', 'rtsp_candidates', 'live_or_reachable_media']) || '.m3u', '#EXTM3U') "
+    "SELECT file, count(*)::BIGINT AS n_lines, count_if(value LIKE '#%')::BIGINT AS n_marked, sum(('0x' || substr(md5(value), 1, 8))::BIGINT)::BIGINT AS checksum FROM l GROUP BY file"
+)
+def written_playlists(spark: SparkSession, d: str) -> DataFrame:
+    """K-16, K-17, K-22: all lists written from one sort, and read again."""
+    from .staging import folder
+
+    path = f"{folder(spark)}/lists-{uuid.uuid4().hex}"
+    sinks.write_playlists(sinks.playlist_rows(_flagged(cams(spark, d)), []), path, sinks.CANDIDATE_LISTS)
+    lines = spark.read.option("recursiveFileLookup", True).schema("value string").text(path)
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return lines.groupBy(file.alias("file")).agg(F.count("*").alias("n_lines"), F.count_if(F.col("value").startswith("#")).alias("n_marked"), F.sum(F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long")).alias("checksum"))
+
+
 @query("WITH w AS (SELECT user_id, event_id AS o, event_type AS r FROM events) SELECT r AS reason, count(*)::BIGINT AS n FROM w GROUP BY r ORDER BY n DESC, min(o) LIMIT 3")
 def top_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent reasons: the limit is the feature."""
@@ -561,6 +583,30 @@ def harvest_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return harvest(payloads(spark, d)).endpoints.drop("metadata")
 
 
+@query(
+    "WITH RECURSIVE s AS (SELECT min(page_id) AS n FROM pages GROUP BY split_part(url, '/', 3)), e AS (SELECT page_id AS a, unnest([page_id * 3 + 1, page_id // 2]) AS b FROM pages), "
+    "r(n, depth) AS (SELECT n, 0 FROM s UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.n WHERE depth < 4), m AS (SELECT n, min(depth) AS depth FROM r GROUP BY n), "
+    "f AS (SELECT x.n, x.depth, min(e.a) AS a FROM m x JOIN e ON e.b = x.n JOIN m y ON y.n = e.a AND y.depth = x.depth - 1 GROUP BY ALL), "
+    "o AS (SELECT 'https://api.example/n/' || n AS endpoint_url, depth, a, n IN (SELECT page_id FROM pages) AS fetched FROM f UNION ALL "
+    "SELECT unnest(list_prepend(b, list_transform(range(8), lambda k: b || '/' || k || '/query?where=1%3D1&outFields=*&returnGeometry=true&f=json'))), depth + 1, page_id, false FROM (SELECT *, 'https://api.example/n/' || page_id || '/MapServer' AS b FROM pages JOIN m ON m.n = page_id WHERE depth < 4 AND page_id % 5 = 0)) "
+    "SELECT replace(endpoint_url, '.example/n/', '.example/api/n/') AS endpoint_url, depth::INTEGER AS depth, 'https://api.example/api/n/' || a AS found_on, fetched FROM o"
+)
+def reached_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """S-25: endpoints within four steps of the first page of each host, over links between the pages' numbers."""
+    from .plans.harvest import HarvestConfig, reached
+
+    pages = t(spark, d, "pages")
+    at = lambda n: F.concat(F.lit("/api/n/"), n.cast("string"))
+    n = F.col("page_id")
+    link = lambda to: F.concat(F.lit("<a href='"), to, F.lit("'>more</a>"))
+    body = F.concat(F.lit("<html>"), link(at(n * 3 + 1)), link(at(F.expr("page_id div 2"))), F.when(n % 5 == 0, link(F.concat(at(n), F.lit("/MapServer")))).otherwise(F.lit("")), F.lit("</html>"))
+    own = F.concat(F.lit("https://api.example"), at(n))
+    text_ = lambda v: F.lit(v).cast("string")
+    sent = pages.select(n.alias("_ord"), own.alias("page_url"), own.alias("payload_url"), F.lit("text/html").alias("content_type"), body.alias("body"), text_(None).alias("source_provider"), text_(None).alias("source_name"))
+    seeds = pages.groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).agg(F.min("page_id").alias("n")).select(F.concat(F.lit("https://api.example"), at(F.col("n"))).alias("url"))
+    return reached(seeds, sent, HarvestConfig(), 4)
+
+
 @query(
     "WITH c AS (SELECT page_id, 't' || ((page_id * 2 + 1) % 3) AS target_id, page_id % 90 AS lat, page_id % 180 AS lon FROM pages), "
     "s AS (SELECT *, CASE target_id WHEN 't0' THEN CASE WHEN lat <= 30 AND lon <= 90 THEN 'in_scope' ELSE 'out_of_scope' END WHEN 't1' THEN CASE WHEN lat < 60 AND lon < 60 AND NOT (lat < 20 AND lon < 20) THEN 'in_scope' ELSE 'out_of_scope' END ELSE 'review' END AS scope FROM c), "

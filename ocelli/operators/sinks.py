@@ -19,6 +19,7 @@ from ..functions import status as S
 from ..functions import url as U
 from ..functions.pyfuncs import private_host
 from ..functions.text import first_nonblank, stable_id, text
+from ..staging import Stage
 from .policy import Rule, block_reason
 from .scope import with_target
 
@@ -309,19 +310,48 @@ def m3u_lines(rows: DataFrame, group: str | None = None) -> DataFrame:
     return head.unionByName(body)
 
 
+def playlist_files(rows: DataFrame, names: tuple[str, ...], group: str | None = None) -> DataFrame:
+    """The lines of all files (``file, _ord, k, value``): a text file for each list, and an M3U file but for those of ``TEXT_ONLY``.
+
+    A list's header stands before its rows, under a null ``_ord``; it is there for a list without rows as well.
+    """
+    title, url = title_of_row(), F.col("stream_url")
+    label = F.lit(group) if group else F.col("playlist")
+    entry = F.concat(F.lit('#EXTINF:-1 tvg-name="'), title, F.lit('" group-title="'), m3u_text(label), F.lit('",'), title)
+    at = lambda end, k, v: F.struct(F.concat("playlist", F.lit(end)).alias("file"), F.lit(k).alias("k"), v.alias("value"))
+    plain = F.array(at(".txt", 1, url))
+    lines = F.when(F.col("playlist").isin(*TEXT_ONLY), plain).otherwise(F.concat(plain, F.array(at(".m3u", 1, entry), at(".m3u", 2, url))))
+    body = rows.filter(F.col("playlist").isin(*names)).select("_ord", F.explode(lines).alias("l")).select("l.file", "_ord", "l.k", "l.value")
+    heads = [(f"{n}.m3u", 0, "#EXTM3U") for n in names if n not in TEXT_ONLY]
+    head = rows.sparkSession.createDataFrame(heads, "file string, k int, value string")
+    return head.select("file", F.lit(None).cast(rows.schema["_ord"].dataType).alias("_ord"), "k", "value").unionByName(body)
+
+
 def write_playlists(rows: DataFrame, path: str, names: tuple[str, ...], group: str | None = None) -> dict[str, int]:
-    """Playlists as M3U and text; lists of images and of dead links as text only.  Returns their sizes."""
-    kept = rows.persist()
+    """Playlists as M3U and text; lists of images and of dead links as text only.  Returns their sizes.
+
+    All files come from one range sort by file and order.  A list of up to ``ONE_FILE`` lines
+    is one key, so one file; a longer one is cut by its order into several, in the order of
+    their names.  The rows are stored once, as sizes, ranges and lines read them.  Tasks write
+    to a folder beside the lists, whose subfolders then take the lists' names.  Rows without a
+    list of ``names`` are left out; an empty list has an empty text folder.
+    """
+    spark, made, stage = rows.sparkSession, f"{path}/_lines", Stage(rows.sparkSession)
+    kept = stage(rows, "playlists")
     counts = {r["playlist"]: r["n"] for r in kept.groupBy("playlist").agg(F.count("*").alias("n")).collect()}  # a row for each list
-    for name in names:
-        own = kept.filter(F.col("playlist") == name)
-        write_text(own.select("_ord", F.col("stream_url").alias("value")), f"{path}/{name}.txt", "_ord")
-        if name not in TEXT_ONLY:
-            lines = m3u_lines(own, group)
-            if not counts.get(name):
-                lines = kept.sparkSession.createDataFrame([(name, -1, 0, "#EXTM3U")], "playlist string, _ord long, k int, value string")
-            write_text(lines, f"{path}/{name}.m3u", "_ord", "k")
-    kept.unpersist()
+    long = [f"{n}{end}" for n in names for end, each in ((".txt", 1), (".m3u", 2)) if counts.get(n, 0) * each > ONE_FILE]
+    parts = 2 * len(names) + 3 * sum(counts.values()) // ONE_FILE
+    place = F.when(F.col("file").isin(*long), F.col("_ord")) if long else F.lit(None).cast(rows.schema["_ord"].dataType)
+    lines = playlist_files(kept, names, group).repartitionByRange(parts, "file", place).sortWithinPartitions("file", "_ord", "k")
+    lines.select("file", "value").write.mode("overwrite").partitionBy("file").text(made)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in [f"{n}{end}" for n in names for end in (".txt", ".m3u") if end == ".txt" or n not in TEXT_ONLY]:
+        at, to = hadoop.Path(f"{made}/file={file}"), hadoop.Path(f"{path}/{file}")
+        fs.delete(to, True)
+        fs.rename(at, to) if fs.exists(at) else fs.mkdirs(to)
+    fs.delete(hadoop.Path(made), True)
+    stage.free()
     return {n: counts.get(n, 0) for n in names}
 
 

@@ -13,6 +13,7 @@ from ..functions.media import MediaFilter, image_removal_reason
 from ..operators import extract, merge, sinks, summarize
 from ..operators.admit import first_rows, per_key
 from ..operators.policy import Rule, block_reason, record_block_reason, unblocked
+from ..staging import Stage
 
 
 @dataclass
@@ -88,6 +89,37 @@ def linked(payloads: DataFrame, config: HarvestConfig) -> DataFrame:
     return per_key(first, ["payload_ord"], config.max_endpoints_per_page, "_ord").drop("_ord", "k")
 
 
+def reached(seeds: DataFrame, payloads: DataFrame, config: HarvestConfig, rounds: int = 3) -> DataFrame:
+    """Endpoints that ``seeds`` (``url``) lead to within ``rounds`` steps over what has been fetched.
+
+    Returns ``endpoint_url``, ``depth`` (the least number of steps), ``found_on`` (the page of
+    that step that comes first in the payloads) and ``fetched`` (whether there is a payload).
+    URLs are compared without case; seeds aren't returned, pages that lead back to them or to
+    each other end there.  Null URLs lead nowhere; equal payloads count as one.
+
+    Pages are read once, to a table of links; a round joins its new endpoints with that
+    table and drops what earlier rounds have seen.  Rounds end early when nothing is new.
+    """
+    if rounds < 1:
+        raise ValueError("rounds: 1 or more")
+    stage = Stage(payloads.sparkSession)
+    links = linked(payloads, config).filter("page_url IS NOT NULL AND endpoint_url IS NOT NULL")
+    edges = stage(links.select(F.lower("page_url").alias("start"), F.lower("endpoint_url").alias("key"), F.struct("payload_ord", "record_ord", "endpoint_url", "page_url").alias("link")), "links")
+    new = stage(seeds.filter("url IS NOT NULL").select(F.lower("url").alias("key")).distinct(), "seeds")
+    seen, found = new, None
+    for depth in range(1, rounds + 1):
+        first = edges.join(new.select(F.col("key").alias("start")), "start").groupBy("key").agg(F.min("link").alias("link"))
+        new = stage(first.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
+        seen = seen.unionByName(new.select("key"))
+    found = new if found is None else found  # the empty table of the first round
+    have = payloads.select(F.lower("payload_url").alias("key")).distinct().withColumn("fetched", F.lit(True))
+    rows = found.join(have, "key", "left")
+    return rows.select("link.endpoint_url", "depth", F.col("link.page_url").alias("found_on"), F.coalesce("fetched", F.lit(False)).alias("fetched"))
+
+
 @dataclass
 class Harvest:
     raw: DataFrame
