@@ -26,6 +26,24 @@ def by_keys(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.key").agg(F.count("*").alias("n"))
 
 
+def explained(candidates: DataFrame) -> DataFrame:
+    """What a run's candidates are, in one pass: ``dimension, key, n``.
+
+    Dimensions: ``media_type`` and ``source_provider`` of the metadata (a provider falls back on the
+    discovery method, both on ``unknown``), ``origin`` (``harvest`` for rows of a handoff, else
+    ``native``), ``coordinates`` (``present`` if there are both, else ``missing``).
+    """
+    said = lambda k: F.nullif(F.try_element_at("metadata", F.lit(k)), F.lit(""))
+    handed = F.coalesce(F.col("discovery_method") == "harvest_handoff", F.lit(False)) | said("harvest_input").isNotNull()
+    return by_keys(
+        candidates,
+        media_type=said("media_type"),
+        source_provider=F.coalesce(said("source_provider"), F.col("discovery_method")),
+        origin=F.when(handed, "harvest").otherwise("native"),
+        coordinates=F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "present").otherwise("missing"),
+    )
+
+
 def in_fixed_order(df: DataFrame, col: str, order: tuple[str, ...]) -> DataFrame:
     """Rows by value in a given order, absent values left out."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(col))

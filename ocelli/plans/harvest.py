@@ -89,6 +89,23 @@ def linked(payloads: DataFrame, config: HarvestConfig) -> DataFrame:
     return per_key(first, ["payload_ord"], config.max_endpoints_per_page, "_ord").drop("_ord", "k")
 
 
+def failures(payloads: DataFrame, rules: list[Rule] = ()) -> DataFrame:
+    """Error rows of a harvest: ``stage, subject, error`` for each payload that gives nothing.
+
+    ``source_fetch_error``: the fetch failed, by the payload's ``error`` if it has that column, or
+    answered with a status of 400 or more.  ``row_extraction_error``: it answered without a body,
+    or says that it is JSON and can't be read as such.  Blocked payloads were never asked for.
+    """
+    said = F.nullif(F.trim("error"), F.lit("")) if "error" in payloads.columns else F.lit(None).cast("string")
+    refused = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
+    json = F.lower(F.coalesce("content_type", F.lit(""))).contains("json")
+    unread = F.when(F.col("body").isNull(), "no body").when(json & F.try_parse_json("body").isNull(), "not JSON")
+    fetch = F.coalesce(said, refused)
+    own = unblocked(payloads, list(rules), "payload_url") if rules else payloads
+    rows = own.select(F.when(fetch.isNotNull(), "source_fetch_error").otherwise("row_extraction_error").alias("stage"), F.col("payload_url").alias("subject"), F.coalesce(fetch, unread).alias("error"))
+    return rows.filter("error IS NOT NULL")
+
+
 def reached(seeds: DataFrame, payloads: DataFrame, config: HarvestConfig, rounds: int = 3) -> DataFrame:
     """Endpoints that ``seeds`` (``url``) lead to within ``rounds`` steps over what has been fetched.
 
@@ -130,6 +147,7 @@ class Harvest:
     cameras: DataFrame
     endpoints: DataFrame
     removed: DataFrame
+    errors: DataFrame
 
 
 def harvest(payloads: DataFrame, config: HarvestConfig | None = None) -> Harvest:
@@ -145,7 +163,7 @@ def harvest(payloads: DataFrame, config: HarvestConfig | None = None) -> Harvest
     marked = media.withColumn("removal_reason", image_removal_reason(config.image_filter))
     images = marked.filter("removal_reason IS NULL").drop("removal_reason")
     removed = summarize.by_key(marked.filter("removal_reason IS NOT NULL"), "removal_reason")
-    return Harvest(raw, unique, media, images, first_rows(images, config.max_urls, "_ord"), cameras, endpoints(fetched, cameras), removed)
+    return Harvest(raw, unique, media, images, first_rows(images, config.max_urls, "_ord"), cameras, endpoints(fetched, cameras), removed, failures(payloads, config.rules))
 
 
 def write(h: Harvest, path: str, config: HarvestConfig, query: str = "", created_at: str = "", intermediate: bool = False) -> dict:
@@ -159,6 +177,7 @@ def write(h: Harvest, path: str, config: HarvestConfig, query: str = "", created
     sinks.write_jsonl(cameras, f"{path}/camera_records_jsonl")
     sinks.write_jsonl(cameras.select("camera_record_id", F.explode("media_assets").alias("a")).select("camera_record_id", "a.*"), f"{path}/camera_media_assets_jsonl")
     sinks.write_jsonl(h.endpoints, f"{path}/discovered_endpoints_jsonl")
+    sinks.write_jsonl(h.errors, f"{path}/logs/harvest_errors_jsonl")
     sinks.write_jsonl(sinks.inventory(cameras, records), f"{path}/harvest_camera_inventory_jsonl")
     lists = sinks.write_playlists(sinks.harvest_playlist_rows(records, config.rules), f"{path}/playlists", sinks.HARVEST_LISTS, "harvest")
     if intermediate:

@@ -165,6 +165,7 @@ def write(done: DataFrame, targets: DataFrame, path: str, config: RunConfig) ->
         if not own.isEmpty():
             sinks.write_text(sinks.features(own, targets, flag, config.refresh_delay), f"{path}/{name}_features", "_ord")
     sinks.write_jsonl(sinks.target_features(targets), f"{path}/target_geometry")
+    sinks.write_jsonl(summarize.explained(rows).coalesce(1), f"{path}/run_explanation")
     summary["playlists"] = sinks.write_playlists(sinks.playlist_rows(rows, config.rules), f"{path}/playlists", sinks.CANDIDATE_LISTS)
     sinks.write_text(sinks.markdown_rows(rows, "title", "stream_url", "scope_status", "trust_level"), f"{path}/cameras_md", "_ord")
     sinks.write_json(spark, summary, f"{path}/summary")
