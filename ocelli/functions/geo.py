@@ -32,14 +32,17 @@ def in_box(lat: Column, lon: Column, b: Column) -> Column:
     return F.coalesce(lat.between(b["min_lat"], b["max_lat"]) & lon.between(b["min_lon"], b["max_lon"]), F.lit(False))
 
 
-def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
-    """Even-odd rule along the ring; rings of fewer than three points hold nothing."""
+def in_ring(lat: Column, lon: Column, ring: Column, closed: bool = False) -> Column:
+    """Even-odd rule along the ring; rings of fewer than three points hold nothing.
+
+    Of the ring's own points the rule takes those of lower edges; with ``closed`` all of them are in it.
+    """
     n = F.size(ring)
-    flips = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: crosses(lat, lon, F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))),
-    )
-    return F.when(n >= 3, F.size(flips) % 2 == 1).otherwise(False)
+    ends = lambda i: (F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1)))
+    within = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: crosses(lat, lon, *ends(i)))) % 2 == 1
+    if closed:
+        within = within | F.exists(F.sequence(F.lit(1), n), lambda i: touches(lat, lon, *ends(i)))
+    return F.when(n >= 3, within).otherwise(False)
 
 
 def crosses(lat: Column, lon: Column, p: Column, q: Column) -> Column:
@@ -49,9 +52,15 @@ def crosses(lat: Column, lon: Column, p: Column, q: Column) -> Column:
     return ((p["lat"] > lat) != (q["lat"] > lat)) & (lon < at)
 
 
-def in_polygons(lat: Column, lon: Column, polygons: Column) -> Column:
-    """In any polygon: within its first ring and none of the others."""
-    hit = F.exists(polygons, lambda rings: (F.size(rings) > 0) & in_ring(lat, lon, F.try_element_at(rings, F.lit(1))) & ~F.exists(F.slice(rings, 2, 100000), lambda h: in_ring(lat, lon, h)))
+def touches(lat: Column, lon: Column, p: Column, q: Column) -> Column:
+    """Whether a point lies on the edge of two points, its ends included."""
+    level = (q["lon"] - p["lon"]) * (lat - p["lat"]) == (q["lat"] - p["lat"]) * (lon - p["lon"])
+    return level & lat.between(F.least(p["lat"], q["lat"]), F.greatest(p["lat"], q["lat"])) & lon.between(F.least(p["lon"], q["lon"]), F.greatest(p["lon"], q["lon"]))
+
+
+def in_polygons(lat: Column, lon: Column, polygons: Column, closed: bool = False) -> Column:
+    """In any polygon: within its first ring and none of the others; ``closed`` rings hold their edges."""
+    hit = F.exists(polygons, lambda rings: (F.size(rings) > 0) & in_ring(lat, lon, F.try_element_at(rings, F.lit(1)), closed) & ~F.exists(F.slice(rings, 2, 100000), lambda h: in_ring(lat, lon, h, closed)))
     return F.coalesce(hit, F.lit(False))
 
 

@@ -53,12 +53,13 @@ def _band(lat: Column, low: Column, height: Column, bands: Column) -> Column:
     return F.least(bands - 1, F.greatest(F.lit(0), F.floor((lat - low) / height))).cast("int")
 
 
-def polygon_bands(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def polygon_bands(targets: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The targets' polygons cut into bands of latitude.
 
     ``(frames, bands)``: for each target with a polygon its lowest latitude, the
     height and number of its bands; and for each band of a target the edges that
-    reach into it.  Points without numbers hold no edge.
+    reach into it.  Points without numbers hold no edge.  Level edges are never crossed
+    and are left out, unless rings are ``closed``: then points may lie on them.
     """
     rings = targets.filter(F.size("polygons") > 0).select("target_id", F.posexplode("polygons").alias("poly", "rings")).select("target_id", "poly", F.posexplode("rings").alias("ring", "points"))
     n = F.size("points")
@@ -71,13 +72,13 @@ def polygon_bands(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     frames = frames.withColumn("bands", F.least(F.lit(BANDS), F.ceil(F.col("n") / BAND_EDGES)).cast("int")).withColumn("height", F.greatest((F.col("high") - F.col("low")) / F.col("bands"), F.lit(1e-300)))
     frames = frames.select("target_id", "low", "height", "bands")
     at = lambda c: _band(F.col(c), F.col("low"), F.col("height"), F.col("bands"))
-    cut = edges.filter("p.lat <> q.lat").join(frames, "target_id")
+    cut = (edges if closed else edges.filter("p.lat <> q.lat")).join(frames, "target_id")
     cut = cut.select("target_id", F.struct("poly", "ring", "p", "q").alias("edge"), F.explode(F.sequence(F.least(at("p.lat"), at("q.lat")), F.greatest(at("p.lat"), at("q.lat")))).alias("band"))
     return frames, cut.groupBy("target_id", "band").agg(F.collect_list("edge").alias("edges"))
 
 
-def with_inside(df: DataFrame, bands: DataFrame, lat: Column, lon: Column, out: str = "_inside") -> DataFrame:
-    """Adds whether a point is in its target's polygons: within a first ring and none of its other rings.
+def with_inside(df: DataFrame, bands: DataFrame, lat: Column, lon: Column, out: str = "_inside", closed: bool = False) -> DataFrame:
+    """Adds whether a point is in its target's polygons: within a first ring and none of its other rings; ``closed`` rings hold their edges.
 
     ``df`` has ``t_target_id`` and the frame's columns as ``t_low, t_height, t_bands``.
     A point meets the edges of its own band alone, by an equi-join; no other edge can
@@ -85,9 +86,11 @@ def with_inside(df: DataFrame, bands: DataFrame, lat: Column, lon: Column, out:
     """
     own = F.when(F.col("t_bands").isNotNull() & lat.isNotNull() & lon.isNotNull(), _band(lat, F.col("t_low"), F.col("t_height"), F.col("t_bands")))
     met = df.withColumn("_own_band", own).join(bands.select(F.col("target_id").alias("_b_target"), F.col("band").alias("_b_band"), "edges"), (F.col("t_target_id") == F.col("_b_target")) & (F.col("_own_band") == F.col("_b_band")), "left")
-    crossed = F.transform(F.filter("edges", lambda e: G.crosses(lat, lon, e["p"], e["q"])), lambda e: F.struct(e["poly"].alias("poly"), e["ring"].alias("ring")))
-    met = met.withColumn("_crossed", crossed)
+    rings = lambda hit: F.transform(F.filter("edges", lambda e: hit(lat, lon, e["p"], e["q"])), lambda e: F.struct(e["poly"].alias("poly"), e["ring"].alias("ring")))
+    met = met.withColumn("_crossed", rings(G.crosses))
     odd = F.filter(F.array_distinct("_crossed"), lambda x: F.size(F.filter("_crossed", lambda y: y == x)) % 2 == 1)
+    if closed:
+        odd = F.array_union(odd, rings(G.touches))
     met = met.withColumn("_odd", odd)
     inside = F.exists("_odd", lambda x: (x["ring"] == 0) & ~F.exists("_odd", lambda y: (y["poly"] == x["poly"]) & (y["ring"] > 0)))
     return met.withColumn(out, F.coalesce(inside, F.lit(False))).drop("_own_band", "_b_target", "_b_band", "edges", "_crossed", "_odd")
@@ -114,16 +117,19 @@ def scope(lat: Column, lon: Column, bbox: Column, polygons: Column, verified: Co
     )
 
 
-def scoped(df: DataFrame, targets: DataFrame, prefix: str = "") -> DataFrame:
+def scoped(df: DataFrame, targets: DataFrame, prefix: str = "", closed: bool = False) -> DataFrame:
     """Candidates with ``scope_status``, and rejected where they are outside.
 
+    Of a ring's own points the even-odd rule takes those of lower edges; with ``closed`` a
+    ring holds all of them, so that a hole's edge is outside.
+
     Targets go to candidates without their polygons, of which a candidate meets the
     edges in its band of latitude; a target may have any number of edges.
     """
-    frames, bands = polygon_bands(targets)
+    frames, bands = polygon_bands(targets, closed)
     # Whether there is a polygon; its points stay behind.
     light = targets.withColumn("polygons", F.size("polygons") > 0).join(frames, "target_id", "left")
-    both = with_inside(with_target(df, light), bands, F.col("lat"), F.col("lon"))
+    both = with_inside(with_target(df, light), bands, F.col("lat"), F.col("lon"), closed=closed)
     shape = F.when(F.col("t_polygons"), F.array(F.lit(1)))
     s = scope(F.col("lat"), F.col("lon"), F.col("t_bbox"), shape, F.col("t_bbox_verified"), prefix, F.col("_inside"))
     out = both.withColumn("_scope", s)
