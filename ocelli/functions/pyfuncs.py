@@ -50,7 +50,9 @@ def is_private(url: str | None) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def private_host(url: pd.Series) -> pd.Series:
-    return url.map(is_private).astype(bool)
+    """Each name of a batch is looked at once; null is no host."""
+    known = {u: is_private(u) for u in url.dropna().unique()}
+    return pd.Series([known.get(u, False) for u in url], dtype=bool)
 
 
 def decoded_variants(text: str, floor: int = 2_000_000) -> list[tuple[str, str]]:

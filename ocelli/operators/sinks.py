@@ -246,14 +246,14 @@ TEXT_ONLY = ("dead_or_restricted_media", "image_snapshots", "harvested_image_sna
 def eligible(df: DataFrame, rules: list[Rule], url: str = "stream_url") -> DataFrame:
     """Rows with a URL that is neither blocked nor of a private host.
 
-    Only names that may be an address or a local name are tested in Python, each once.
+    Only names that may be an address or a local name go to Python, as a column that is null
+    elsewhere; rows stay where they are, so those without such a name don't meet in one task.
     """
     open_ = df.filter((text(F.col(url)) != "") & block_reason(F.col(url), rules).isNull())
     u, where = F.col(url), U.authority(F.col(url))
     doubtful = U.host(u).rlike(r"^[0-9.]*$|(?:^|\.)(?:localhost|localdomain|local)\.?$") | ~where.rlike(r"^[A-Za-z0-9._~%!$&()*+,;=:@-]*$")
     marked = open_.withColumn("_where", F.when(doubtful, F.when(where == "", u).otherwise(F.concat(F.lit("x://"), where))))
-    bad = marked.filter("_where IS NOT NULL").select("_where").distinct().filter(private_host(F.col("_where")))
-    return marked.join(bad, "_where", "left_anti").select(*df.columns)
+    return marked.filter(~private_host(F.col("_where"))).select(*df.columns)
 
 
 def playlist_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
