@@ -246,13 +246,13 @@ def inferred_places(rows: DataFrame) -> DataFrame:
 
 def own_coordinates(c=F.col) -> Column:
     """(lat, lon) that a candidate's metadata or URLs give, or null."""
-    maps = [c("metadata"), U.query_map(c("stream_url")), U.query_map(F.coalesce(c("source_url"), F.lit("")))]
-    found = []
-    for m in maps:
-        first = lambda keys: F.coalesce(*[N.whole_number(F.try_element_at(m, F.lit(k))) for k in keys])  # noqa: B023, E731
-        lat, lon = first(("lat", "latitude", "camera_latitude", "y", "data_lat")), first(("lon", "lng", "longitude", "camera_longitude", "x", "data_lon"))
-        found.append(F.when(G.valid(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon"))))
-    return F.coalesce(*found)
+    lat_keys, lon_keys = ("lat", "latitude", "camera_latitude", "y", "data_lat"), ("lon", "lng", "longitude", "camera_longitude", "x", "data_lon")
+    asked = lambda url: F.when(text(url).contains("?"), U.query_map(url))
+    maps = F.filter(F.array(c("metadata"), asked(c("stream_url")), asked(c("source_url"))), lambda m: F.size(m) > 0)
+    first = lambda m, keys: F.coalesce(*[N.whole_number(F.try_element_at(m, F.lit(k))) for k in keys])
+    # A map is a variable of the function, so each URL is taken apart once and not for each key.
+    points = F.transform(maps, lambda m: F.struct(first(m, lat_keys).alias("lat"), first(m, lon_keys).alias("lon")))
+    return F.try_element_at(F.filter(points, lambda p: G.valid(p["lat"], p["lon"])), F.lit(1))
 
 
 CONFLICT_KM = 25.0
@@ -274,13 +274,13 @@ def enriched(df: DataFrame, targets: DataFrame, geocodes: DataFrame, limit: int,
     base = with_target(df, targets)
     own = own_coordinates()
     base = base.withColumn("_own", F.when(F.col("lat").isNull() | F.col("lon").isNull(), own))
-    base = with_geocode_query(base, "_query")
-    base = base.withColumn("_query", F.when(F.col("_own").isNull() & (F.col("lat").isNull() | F.col("lon").isNull()), F.col("_query")))
-    asked = base.filter("_query IS NOT NULL").select("target_id", "_ord", enrichment_rank().alias("_r"), "stream_url", F.lower(text(F.col("t_scope_type"))).isin("state", "region", "country", "metro", "county").alias("_wide"))
+    # Only rows without any coordinates are asked for, and only those that are admitted take their query and answer along.
+    bare = with_geocode_query(base.filter((F.col("lat").isNull() | F.col("lon").isNull()) & F.col("_own").isNull()), "_query")
+    asked = bare.filter("_query IS NOT NULL").select("target_id", "_ord", "_query", enrichment_rank().alias("_r"), "stream_url", F.lower(text(F.col("t_scope_type"))).isin("state", "region", "country", "metro", "county").alias("_wide"))
     admitted = _admitted(asked, limit, wide_limit)
     cache = geocodes.filter(G.valid(F.col("lat"), F.col("lon"))).groupBy("query").agg(F.min(F.struct("lat", "lon", "display_name")).alias("_g"))
-    out = base.join(admitted.select("target_id", "_ord", F.lit(True).alias("_asked")), ["target_id", "_ord"], "left")
-    out = out.join(cache.withColumnRenamed("query", "_query"), "_query", "left").withColumn("_g", F.when(F.col("_asked"), F.col("_g")))
+    answered = admitted.join(cache.withColumnRenamed("query", "_query"), "_query", "left").select("target_id", "_ord", "_query", "_g")
+    out = base.join(answered, ["target_id", "_ord"], "left")
     passes = geocode_passes(F.col("_g.lat"), F.col("_g.lon"), F.col("t_bbox"), F.col("t_polygons"), F.col("t_bbox_verified"))
     out = out.withColumn("_ok", F.when(F.col("_g").isNotNull(), passes))
     if inferred is not None and inference_limit:
