@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import media as M
 from ..functions import url as U
@@ -61,23 +62,38 @@ def merge_harvest_records(df: DataFrame) -> DataFrame:
     Listed columns take the first non-empty value, the media type the first
     known one, metadata the first value of each key; ``duplicate_sources`` are
     the other sources, in order.
+
+    A row is taken apart once, into its record, its source and its entries, and all of them
+    go through the same two aggregations: what ``df`` is made of is read and computed once.
     """
-    rows = df.withColumn("_key", U.canonical(F.col("url")))
+    own = [f for f in df.schema.fields if f.name not in ("url", "_ord", "metadata")]
+    kind = T.StructType([T.StructField("tag", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType()), T.StructField("r", T.StructType([T.StructField(f.name, f.dataType) for f in own]))])
+    part = lambda tag, name=None, k=None, v=None, r=None: F.struct(F.lit(tag).alias("tag"), *[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in (("name", name), ("k", k), ("v", v), ("r", r))]).cast(kind)
+    parts = [F.array(part(0, r=F.struct(*[f.name for f in own]))), F.when(text(F.col("source_url")) != "", F.array(part(1, F.col("source_url")))).otherwise(F.array().cast(T.ArrayType(kind)))]
+    if "metadata" in df.columns:
+        entries = F.filter(F.transform(F.map_entries("metadata"), lambda e, i: part(2, e["key"], i, e["value"])), lambda x: x["v"].isNotNull() & ~x["v"].isin("", "[]", "{}"))
+        parts.append(F.coalesce(entries, F.array().cast(T.ArrayType(kind))))
+    rows = df.select(U.canonical(F.col("url")).alias("_key"), "_ord", F.explode(F.concat(*parts)).alias("_p")).select("_key", "_ord", F.col("_p.tag").alias("_tag"), F.col("_p.name").alias("_name"), F.col("_p.k").alias("_k"), F.col("_p.v").alias("_v"), F.col("_p.r").alias("_r"))
     aggs = []
-    for c in df.columns:
-        if c in ("url", "_ord", "metadata", "media_type"):
-            continue
-        aggs.append((first_nonempty(c) if c in FILLED else F.min_by(F.struct(c), "_ord")[c]).alias(c))
-    known = F.when(F.col("media_type") != "unknown_media", F.col("media_type"))
+    for f in own:
+        c = f.name
+        if c != "media_type":
+            aggs.append((first_nonempty(f"_r.{c}") if c in FILLED else F.min_by(F.struct(f"_r.{c}"), "_ord")[c]).alias(c))
+    known = F.when(F.col("_r.media_type") != "unknown_media", F.col("_r.media_type"))
     aggs.append(F.coalesce(F.min_by(known, F.when(known.isNotNull(), F.col("_ord"))), F.lit("unknown_media")).alias("media_type"))
-    out = rows.groupBy("_key").agg(F.min("_ord").alias("_first"), *aggs).withColumnRenamed("_first", "_ord")
-    # A popular URL may have any number of rows, but each source counts once: arrays hold what is distinct.
-    seen = rows.filter(text(F.col("source_url")) != "").groupBy("_key", F.col("source_url").alias("_source")).agg(F.min("_ord").alias("_at"))
-    out = out.join(_listed(seen, "_key", "_at", "_source", "_sources"), "_key", "left")
-    out = out.withColumn("duplicate_sources", F.array_remove(F.coalesce("_sources", F.array().cast("array<string>")), F.coalesce("source_url", F.lit("")))).drop("_sources")
-    if "metadata" in df.columns:
-        out = out.join(_merged_maps(rows, "_key", "_ord"), "_key", "left").withColumn("metadata", F.coalesce("_map", F.create_map().cast("map<string,string>"))).drop("_map")
-    return out.withColumnRenamed("_key", "url").select("_ord", *[c for c in df.columns if c != "_ord"], "duplicate_sources")
+    # A popular URL may have any number of rows, but each source and entry counts once: arrays hold what is distinct.
+    once = rows.groupBy("_key", "_tag", "_name").agg(F.min("_ord").alias("_at"), F.min(F.struct("_ord", "_k", "_v")).alias("_f"), *aggs)
+    of = lambda tag, *cs: F.when(F.col("_tag") == tag, F.struct(*cs))
+    sources = F.transform(F.array_sort(F.collect_list(of(1, "_at", "_name"))), lambda x: x["_name"])
+    pairs = F.array_sort(F.collect_list(of(2, "_f._ord", "_f._k", "_name", "_f._v")))
+    whole = once.groupBy("_key").agg(
+        F.any_value(of(0, "_at", *[f.name for f in own]), F.lit(True)).alias("_r"),
+        sources.alias("_sources"),
+        F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["_name"], x["_v"]))).alias("_map"),
+    )
+    fields = {"_ord": F.col("_r._at"), "url": F.col("_key"), "metadata": F.col("_map")}
+    others = F.array_remove("_sources", F.coalesce("_r.source_url", F.lit("")))
+    return whole.select(*[fields.get(c, F.col(f"_r.{c}")).alias(c) for c in ("_ord", *[c for c in df.columns if c != "_ord"])], others.alias("duplicate_sources"))
 
 
 #: Metadata that a structured row overrides in the fold.
