@@ -6,6 +6,8 @@ host's case, so a URL is cut by the pattern of the generic syntax instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ SENSITIVE_KEYS = ("access_token", "api_key", "apikey", "auth", "authorization",
 SENSITIVE_PARTS = ("token", "secret", "password", "signature")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once for a row, however often ``f`` names it."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
 def part(url: Column, n: int) -> Column:
     """1: scheme, 2: authority, 3: path, 4: query, 5: fragment; absent parts are empty."""
     return F.regexp_extract(text(url), GENERIC, n)
@@ -45,11 +52,19 @@ def query(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host name in lower case, without user and port."""
-    return F.lower(F.regexp_extract(authority(url), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return host_of(authority(url))
+
+
+def host_of(authority: Column) -> Column:
+    return F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
 def port(url: Column) -> Column:
-    return F.regexp_extract(authority(url), r":(\d+)$", 1)
+    return port_of(authority(url))
+
+
+def port_of(authority: Column) -> Column:
+    return F.regexp_extract(authority, r":(\d+)$", 1)
 
 
 def without_fragment(url: Column) -> Column:
@@ -62,9 +77,9 @@ def unescape_slashes(url: Column) -> Column:
 
 def prefer_embedded(url: Column) -> Column:
     """The first scheme-relative media URL that another URL has swallowed, with that one's scheme; else the URL."""
-    inner = F.regexp_extract(url, r"(?i)(?<!:)(//[A-Za-z0-9.-]+\.[A-Za-z]{2,}/[^\s'\"<>]*?" + MEDIA_SUFFIX + r"(?:[?#][^\s'\"<>]*)?)(?=$|[\s'\"<>])", 1)
-    own = scheme(url)
-    return F.when(inner != "", F.concat(F.when(own == "", F.lit("https")).otherwise(own), F.lit(":"), inner)).otherwise(url)
+    swallowed = lambda u: F.regexp_extract(u, r"(?i)(?<!:)(//[A-Za-z0-9.-]+\.[A-Za-z]{2,}/[^\s'\"<>]*?" + MEDIA_SUFFIX + r"(?:[?#][^\s'\"<>]*)?)(?=$|[\s'\"<>])", 1)
+    with_scheme = lambda own, inner: F.concat(F.when(own == "", F.lit("https")).otherwise(own), F.lit(":"), inner)
+    return once(url, lambda u: once(swallowed(u), lambda inner: F.when(inner != "", with_scheme(scheme(u), inner)).otherwise(u)))
 
 
 def strip_trailers(url: Column) -> Column:
@@ -74,19 +89,22 @@ def strip_trailers(url: Column) -> Column:
 
 
 def _assembled(value: Column, keep_user: bool) -> Column:
-    own, auth = scheme(value), authority(value)
+    cut = once(value, lambda v: F.array(*[part(v, n) for n in range(1, 5)]))
+    return once(cut, lambda p: _joined(F.lower(p[0]), p[1], p[2], p[3], keep_user))
+
+
+def _joined(own: Column, auth: Column, path: Column, q: Column, keep_user: bool) -> Column:
     proto = F.when((own == "") & (auth != ""), "https").otherwise(own)
-    number = port(value)
+    number = port_of(auth)
     default = ((proto == "https") & (number == "443")) | ((proto == "http") & (number == "80"))
-    name = F.concat(host(value), F.when((number == "") | default, "").otherwise(F.concat(F.lit(":"), number)))
+    name = F.concat(host_of(auth), F.when((number == "") | default, "").otherwise(F.concat(F.lit(":"), number)))
     if keep_user:
         user = F.regexp_extract(auth, r"^(.*)@", 1)
         name = F.when(user != "", F.concat(user, F.lit("@"), name)).otherwise(name)
-    q = query(value)
     return F.concat(
         F.when(proto != "", F.concat(proto, F.lit(":"))).otherwise(""),
         F.when(auth != "", F.concat(F.lit("//"), name)).otherwise(""),
-        path(value),
+        path,
         F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
     )
 

@@ -8,7 +8,7 @@ depends on the order, ``fold_candidates``, composes the states of its stretches.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,8 +117,8 @@ def _overridden(own: Column, other: Column) -> Column:
     return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(over, k)), over)
 
 
-#: Rows of one URL that are folded within its aggregation; URLs of more rows are folded across partitions.
-CROWD = 10_000
+#: Rows of one URL that are folded within its aggregation, row by row; URLs of more rows are folded across partitions, where a row costs far less.
+CROWD = 100
 
 
 def fold_candidates(df: DataFrame, *keys: str, crowd: int = CROWD) -> DataFrame:
@@ -132,24 +132,29 @@ def fold_candidates(df: DataFrame, *keys: str, crowd: int = CROWD) -> DataFrame:
 
     The place of the first row is kept.  ``_ord`` differs within a URL.  A URL of
     up to ``crowd`` rows is folded inside its aggregation, so no array is longer;
-    the rows of larger ones stay where their range partition is (``_fold_crowds``),
+    of larger ones only orders and states are dealt by ranges (``_fold_crowds``),
     and the outcome is the same.
     """
     fields = [c for c in df.columns if c != "_ord"]
     url = F.regexp_replace(U.canonical(F.col("stream_url")), "(?s)#.*$", "")
-    rows = df.withColumn("stream_url", url).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    first = Stage(df.sparkSession)  # a URL costs more than all that follows, so it is made once
+    rows = first(df.withColumn("stream_url", url).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))), "fold-urls")
     names = [f"_g{i}" for i in range(len(keys) + 1)]
     rows = rows.select("*", *[F.col(c).alias(n) for c, n in zip((*keys, "stream_url"), names)])
-    crowds = rows.groupBy(*names).agg(F.count("*").alias("_c")).filter(F.col("_c") > crowd).drop("_c")
-    stage = Stage(df.sparkSession)
-    crowds = stage(crowds, "fold-crowds")
+    counts = rows.groupBy(*names).agg(F.count("*").alias("_c"), F.min("_ord").alias("_first"))
+    seen, stage = Observation(), Stage(df.sparkSession)
+    crowds = counts.observe(seen, F.count_if(F.col("_c") <= crowd).alias("few")).filter(F.col("_c") > crowd).drop("_c")
+    crowds = stage(crowds.withColumn("_g", F.monotonically_increasing_id()), "fold-crowds")
     if crowds.isEmpty():
         stage.free()
         return _fold_few(rows, names, fields).select(*df.columns)
-    meet = _same(rows, crowds, names)
-    large = rows.join(crowds.toDF(*[f"{n}b" for n in names]), meet, "left_semi")
-    small = rows.join(crowds.toDF(*[f"{n}b" for n in names]), meet, "left_anti")
-    return _fold_few(small, names, fields).unionByName(_fold_crowds(large, names, fields, stage)).select(*df.columns)
+    other = crowds.withColumnsRenamed({n: f"{n}b" for n in names})
+    meet = _same(rows, other, names)
+    folded = _fold_crowds(rows.join(other, meet), fields, stage).select(*df.columns)
+    if not seen.get["few"]:
+        first.free()
+        return folded
+    return _fold_few(rows.join(other, meet, "left_anti"), names, fields).select(*df.columns).unionByName(folded)
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str], suffix: str = "b") -> Column:
@@ -213,18 +218,21 @@ def _next(state: int, row: int, hls_url: bool) -> tuple[int, int]:
     return (t or rt) * 6 + (2 if rm == 2 else m or rm) * 2 + at, FILLS_BETTER if better else FILLS_STRUCTURED if rm == 2 else FILLS
 
 
-def _fold_crowds(rows: DataFrame, names: list[str], fields: list[str], stage: Stage) -> DataFrame:
-    """The same fold for URLs of any number of rows.
+def _fold_crowds(rows: DataFrame, fields: list[str], stage: Stage) -> DataFrame:
+    """The same fold for URLs of any number of rows, numbered by ``_g``, with ``_first`` of each.
 
     Its choices depend on 18 states only, so what a stretch of rows does is a table
-    of 18 outcomes, and tables of stretches compose.  Rows are range-partitioned by
-    URL and order; each partition sends the table of the URL that it begins with and
+    of 18 outcomes, and tables of stretches compose.  Numbers, orders and states are
+    range-partitioned; each partition sends the table of the URL that it begins with and
     the state in which it ends, one row for each partition; from these follows the
-    state in which each begins.  A second pass says what each row does.  The values
-    are then grouped aggregations: the last row that replaces gives the fields, the
-    last that overrides or the first that fills gives a text or an entry.
+    state in which each begins.  A second pass tells the few rows that shape a URL: the last
+    that replaces all, those after it that are back-filled (two at most: the first makes it
+    located, the second structured), and the first structured one after those.
+
+    What other rows do follows from these.  Which row gives a text or an entry is the least
+    or greatest order of some, by aggregations of numbers; only such rows are then read whole.
     """
-    spark = rows.sparkSession
+    spark, work = rows.sparkSession, Stage(rows.sparkSession)
     meta = lambda k: F.lower(text(F.try_element_at("metadata", F.lit(k))))
     url_is_hls = (M.type_for_caps(F.lit(None).cast("string"), F.col("stream_url")) == "hls").cast("int")
     declared = M.type_for_caps(F.try_element_at("metadata", F.lit("media_type")), F.col("stream_url"))
@@ -232,20 +240,16 @@ def _fold_crowds(rows: DataFrame, names: list[str], fields: list[str], stage: St
     mark = F.when(meta("json_metadata_extracted") == "", 0).when(meta("json_metadata_extracted").isin("false", "0"), 1).otherwise(2)
     state = (kind * 6 + mark * 2 + _located({k: F.col(k) for k in ("lat", "lon")}).cast("int")).cast("int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("*", F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in names], *[F.col(x).isNull() for x in names]).alias("_h"), state.alias("_s"), url_is_hls.alias("_u"))
-    dealt = stage(dealt.repartitionByRange(n, "_h", *names, "_ord").withColumn("_part", F.spark_partition_id()), "fold-rows")
-    order = ["_part", "_h", *names, "_ord"]
+    rows = work(rows.select("_g", "_first", "_ord", state.alias("_s"), url_is_hls.alias("_u"), *fields), "fold-rows")
+    lean = work(rows.select("_g", "_ord", "_s", "_u").repartitionByRange(n, "_g", "_ord").withColumn("_part", F.spark_partition_id()), "fold-states")
+    lean = lean.repartition(n, "_part").sortWithinPartitions("_part", "_g", "_ord")
     steps = {u: [[_next(s, r, bool(u)) for r in range(STATES)] for s in range(STATES)] for u in (0, 1)}
-    # A group is known by its columns; nulls and types are compared as text with a mark.
-    group = F.to_json(F.struct(*[F.struct(F.col(x).cast("string").alias("v")).alias(x) for x in names])).alias("_group")
-    lean = dealt.select("_part", group, "_ord", "_s", "_u", *names, "_h")
-    lean = lean.repartition(n, "_part").sortWithinPartitions(*order).select("_part", "_group", "_s", "_u", "_ord")
 
     def ends(frames):
         """For each partition: its first group and what it does there, its last group and the state after it."""
         seen: dict[int, list] = {}
         for frame in frames:
-            for part, key, s, u in zip(frame["_part"], frame["_group"], frame["_s"], frame["_u"]):
+            for part, key, s, u in zip(*(list(frame[c]) for c in ("_part", "_g", "_s", "_u"))):
                 at = seen.get(part)
                 if at is None:  # first group, its table, last group, its state (None while it is the first one)
                     seen[part] = [key, [steps[u][x][s][0] for x in range(STATES)], key, None, s]
@@ -259,9 +263,9 @@ def _fold_crowds(rows: DataFrame, names: list[str], fields: list[str], stage: St
                     at[2], at[3] = key, s
         yield pd.DataFrame([(p, a[0], a[1], a[2], a[3], a[4]) for p, a in seen.items()], columns=["_part", "head", "does", "tail", "after", "alone"]).astype({"after": "Int64"})
 
-    told = lean.mapInPandas(ends, "_part int, head string, does array<int>, tail string, after int, alone int").orderBy("_part").collect()  # one row for each partition
-    begins: dict[int, tuple[str, int]] = {}
-    carried: tuple[str, int] | None = None
+    told = lean.mapInPandas(ends, "_part int, head long, does array<int>, tail long, after int, alone int").orderBy("_part").collect()  # one row for each partition
+    begins: dict[int, tuple[int, int]] = {}
+    carried: tuple[int, int] | None = None
     for r in told:
         if carried and carried[0] == r["head"]:
             begins[r["_part"]] = carried
@@ -270,55 +274,66 @@ def _fold_crowds(rows: DataFrame, names: list[str], fields: list[str], stage: St
             first = r["alone"]
         carried = (r["tail"], first if r["after"] is None else r["after"])
 
-    def doings(frames):
+    def shaping(frames):
+        """The rows that shape each group of a partition, as far as the partition knows."""
         part = key = now = None
+        held: list[tuple] = []
         for frame in frames:
             out = []
-            for p, k, s, u in zip(frame["_part"], frame["_group"], frame["_s"], frame["_u"]):
+            for p, k, o, s, u in zip(*(list(frame[c]) for c in ("_part", "_g", "_ord", "_s", "_u"))):
                 if p != part:
-                    part, (key, now) = p, begins.get(p, (None, None))
+                    out += held
+                    held, part, (key, now) = [], p, begins.get(p, (None, None))
                 if k != key:
-                    key, now = k, s
-                    out.append(REPLACES)
-                else:
-                    now, does = steps[u][now][s]
-                    out.append(does)
-            yield frame[["_part", "_ord"]].assign(_group=frame["_group"], _does=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
-    does = lean.mapInPandas(doings, f"_part int, _ord {kinds['_ord']}, _group string, _does int")
-    marked = dealt.withColumn("_group", group).join(does, ["_part", "_group", "_ord"])
-    marked = stage(marked.select("_group", "_ord", "_does", *fields), "fold-doings")
-    replaces, full = F.col("_does") <= BACKED, lambda c: text(F.col(c)) != ""
-    spans = marked.groupBy("_group").agg(
-        F.min("_ord").alias("_first"),
-        F.max(F.when(F.col("_does") == REPLACES, F.col("_ord"))).alias("_from"),
-        F.max(F.when(replaces, F.col("_ord"))).alias("_base"),
-        *[F.max_by(F.struct(c), F.when(replaces, F.col("_ord")))[c].alias(c) for c in fields if c not in ("title", "location_text", "metadata")],
+                    out += held
+                    held, key, now = [(k, o, REPLACES)], k, s
+                    continue
+                now, does = steps[u][now][s]
+                if does == REPLACES:
+                    held = [(k, o, does)]
+                elif does in (BACKED, FILLS_BETTER):
+                    held.append((k, o, does))
+            yield pd.DataFrame(out, columns=["_g", "_ord", "_does"])
+        yield pd.DataFrame(held, columns=["_g", "_ord", "_does"])
+
+    orders = lean.schema["_ord"].dataType.simpleString()
+    of = lambda *does: F.when(F.col("_does").isin(*does), F.col("_ord"))
+    spans = lean.mapInPandas(shaping, f"_g long, _ord {orders}, _does int").groupBy("_g").agg(
+        F.max(of(REPLACES)).alias("_from"), F.max(of(REPLACES, BACKED)).alias("_base"), F.collect_list(of(BACKED)).alias("_backed"), F.max(of(FILLS_BETTER)).alias("_better")
+    )
+    spans = work(spans, "fold-spans")
+    late = rows.join(spans, "_g").filter(F.col("_ord") >= F.col("_from"))
+    full, at = lambda c: text(F.col(c)) != "", lambda when, what=min: getattr(F, what.__name__)(F.when(when, F.col("_ord")))
+    # A text is that of the row which overrides it, else the first from the base on; what no row fills stays as the base has it.
+    after = F.col("_ord") >= F.col("_base")
+    texts = late.filter(after).groupBy("_g", "_first", "_base").agg(
+        *[F.coalesce(at(full(c) & (F.col("_ord") == F.col("_better"))), at(full(c)), F.col("_base")).alias(f"_{c}") for c in ("title", "location_text")]
     )
-    spans = stage(spans, "fold-spans")
-    late = marked.join(spans.select("_group", "_from", "_base"), "_group").filter(F.col("_ord") >= F.col("_from"))
-    texts = []
-    for c in ("title", "location_text"):
-        after = full(c) & (F.col("_ord") >= F.col("_base"))
-        wins = F.max_by(c, F.when(after & (F.col("_does") == FILLS_BETTER), F.col("_ord")))
-        fills = F.min_by(c, F.when(after, F.col("_ord")))
-        # What no row fills stays as the base has it: null or empty.
-        base = F.max_by(F.struct(c), F.when(F.col("_ord") == F.col("_base"), F.col("_ord")))[c]
-        texts.append(F.coalesce(wins, fills, base).alias(c))
-    said = late.groupBy("_group").agg(*texts)
-    entry = late.select("_group", "_ord", "_does", F.explode("metadata").alias("_k", "_v"))
-    sets = (F.col("_does") == REPLACES) | ((F.col("_does") == BACKED) & full("_v")) | (F.col("_does").isin(FILLS_STRUCTURED, FILLS_BETTER) & F.col("_k").isin(*OVERRIDES))
+    texts = stage(texts, "fold-texts")
+    backed = F.array_contains("_backed", F.col("_ord"))
+    entry = late.select("_g", "_ord", "_from", backed.alias("_is_backed"), (F.floor(F.col("_s") / 2) % 3 == 2).alias("_structured"), F.explode("metadata").alias("_k", "_v"))
+    sets = (F.col("_ord") == F.col("_from")) | F.when(F.col("_is_backed"), full("_v")).otherwise(F.col("_structured") & F.col("_k").isin(*OVERRIDES))
     entry = entry.withColumn("_sets", sets)
-    last = entry.groupBy("_group", "_k").agg(F.max(F.when(F.col("_sets"), F.col("_ord"))).alias("_at"), F.max_by("_v", F.when(F.col("_sets"), F.col("_ord"))).alias("_set"), F.max_by("_v", "_ord").alias("_any"))
-    last = stage(last, "fold-entries")
-    bare = last.filter(~full("_set")).select("_group", "_k", "_at")
-    fills = entry.filter(full("_v") & ~F.col("_sets") & (F.col("_does") != BACKED)).join(bare, ["_group", "_k"]).filter(F.col("_at").isNull() | (F.col("_ord") > F.col("_at")))
-    fills = fills.groupBy("_group", "_k").agg(F.min_by("_v", "_ord").alias("_fill"))
-    value = F.when(full("_set"), F.col("_set")).otherwise(F.coalesce("_fill", F.when(F.col("_at").isNotNull(), F.col("_set")).otherwise(F.col("_any"))))
-    maps = last.join(fills, ["_group", "_k"], "left").groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("_k", value.alias("_v")))).alias("metadata"))
-    out = spans.join(said, "_group").join(maps, "_group", "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
-    return out.select(F.col("_first").alias("_ord"), *fields)
+    last = entry.groupBy("_g", "_k").agg(at(F.col("_sets"), max).alias("_at"), at(F.col("_sets") & full("_v"), max).alias("_full"), F.max("_ord").alias("_any"))
+    last = work(last, "fold-entries")
+    # An entry is that of the last row which sets it; if that is empty, the first later one that isn't.
+    bare = last.filter(~F.col("_at").eqNullSafe(F.col("_full")) | F.col("_at").isNull()).select("_g", "_k", "_at")
+    given = F.coalesce("_at", "_any")
+    if bare.isEmpty():
+        entries = last.select("_g", "_k", given.alias("_ord"))
+    else:
+        fills = entry.filter(full("_v") & ~F.col("_sets") & ~F.col("_is_backed")).join(bare, ["_g", "_k"]).filter(F.col("_at").isNull() | (F.col("_ord") > F.col("_at")))
+        fills = fills.groupBy("_g", "_k").agg(F.min("_ord").alias("_fill"))
+        entries = last.join(fills, ["_g", "_k"], "left").select("_g", "_k", F.coalesce("_fill", given).alias("_ord"))
+    entries = stage(entries, "fold-given")
+    wanted = texts.select("_g", F.explode(F.array("_base", "_title", "_location_text")).alias("_ord")).unionByName(entries.select("_g", "_ord")).distinct()
+    read = stage(rows.drop("_first").join(wanted, ["_g", "_ord"], "left_semi"), "fold-read")
+    work.free()
+    row = lambda c, *fields: F.any_value(F.when(F.col("_ord") == F.col(c), F.struct(*fields)), F.lit(True)).alias(c)
+    whole = read.join(texts, "_g").groupBy("_g").agg(F.min("_first").alias("_first"), row("_base", *[c for c in fields if c not in ("title", "location_text", "metadata")]), row("_title", "title"), row("_location_text", "location_text"))
+    maps = read.select("_g", "_ord", F.explode("metadata").alias("_k", "_v")).join(entries, ["_g", "_k", "_ord"]).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("metadata"))
+    place = {c: F.col(f"_{c}.{c}") for c in ("title", "location_text")} | {"metadata": F.coalesce("metadata", F.create_map().cast("map<string,string>"))}
+    return whole.join(maps, "_g", "left").select(F.col("_first").alias("_ord"), *[place.get(c, F.col(f"_base.{c}")).alias(c) for c in fields])
 
 
 def merge_target_sets(df: DataFrame) -> DataFrame:

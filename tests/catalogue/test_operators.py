@@ -10,6 +10,7 @@ from ocelli.functions import coerce as N
 from ocelli.functions import evidence as E
 from ocelli.functions import geo as G
 from ocelli.functions import status as S
+from ocelli.functions import url as U
 from ocelli.operators import admit, merge, policy, rank, scope, summarize, targets, trust
 from ocelli.operators.policy import Rule
 from ocelli.plans.run import CANDIDATE, shaped
@@ -498,3 +499,28 @@ def test_refreshed_samples(spark):
     rows = [("u", 1, "a", None, "x"), ("u", 2, "a", None, "x"), ("u", 3, "b", None, "x")]
     df = spark.createDataFrame(rows, "stream_url string, sampled_at int, etag string, last_modified string, body_sha string")
     assert [r.refreshed for r in progress.refreshed(df).orderBy("sampled_at").collect()] == [False, True]
+
+
+def test_a_canonical_url_is_cut_once(spark):
+    """Each pattern stands in the plan once, however often its parts are named."""
+    plan = spark.createDataFrame([("u",)], "u string").select(U.canonical(F.col("u")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("m3u8") == 1 and plan.count("u002[Ff]") == 1
+
+
+def test_crowded_urls_are_not_sorted_whole(spark, monkeypatch):
+    """What is dealt by ranges are orders and states; few rows of a crowd are read whole."""
+    kept = {}
+
+    class Kept(merge.Stage):
+        def __call__(self, df, name):
+            kept[name] = super().__call__(df, name)
+            return kept[name]
+
+        def free(self, keep=0):
+            pass
+
+    monkeypatch.setattr(merge, "Stage", Kept)
+    df = spark.createDataFrame(crowd_rows(3, 1_000, ["https://h.example/a.jpg", "https://h.example/b.jpg"]), "_ord long, stream_url string, title string, location_text string, lat double, lon double, metadata map<string,string>")
+    assert merge.fold_candidates(df, crowd=100).count() == 2
+    assert set(kept["fold-states"].columns) == {"_g", "_ord", "_s", "_u", "_part"} and kept["fold-states"].count() == 1_000
+    assert kept["fold-read"].count() < 30
