@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ocelli.streaming import progress, state
@@ -86,3 +87,43 @@ def test_settle_leaves_the_session_as_it_was(spark, tmp_path):
     assert state.settle(state.deciles(stream), str(tmp_path / "rows"), str(tmp_path / "c"), 2).count() == 1
     assert spark.conf.get(state.SHUFFLES) == usual
     assert len(list((tmp_path / "c" / "state" / "0").glob("[0-9]*"))) == 2
+
+
+def test_one_call_links_the_spans_of_many_urls():
+    """A bucket's URLs share calls, whatever the order and the cuts of their rows, and each is read and written once a batch."""
+
+    class Entries(dict):
+        calls = 0
+
+        def getMapState(self, *_):  # noqa: N802
+            return self
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+    rng, entries, links, found = random.Random(3), Entries(), state.Links(), []
+    links.init(entries)
+    ends = ["at", "etag", "modified", "sha"]
+    names = ["bucket", "stream_url", "opened", *[f"first_{c}" for c in ends], *[f"last_{c}" for c in ends]]
+    urls = [None, *[f"u{k}" for k in range(40)]]
+    spans = [(7, u, pd.Timestamp(T0) + pd.Timedelta(hours=h), 10 * h, rng.choice([None, "a"]), None, "s", 10 * h + 9, rng.choice([None, "b"]), "m", None) for h in range(12) for u in urls if rng.random() < 0.6]
+    for batch in (spans[:200], spans[200:]):
+        rows, entries.calls = rng.sample(batch, len(batch)), 0
+        for out in links.handleInputRows((7,), iter([pd.DataFrame(rows[:9], columns=names), pd.DataFrame(rows[9:], columns=names)]), None):
+            found += [tuple(None if pd.isna(v) else v for v in r) for r in out.itertuples(index=False)]
+        assert entries.calls == 2 * len({r[1] for r in rows})
+    want = []
+    for u in urls:
+        own = [r for r in spans if r[1] == u]
+        want += [(u, *a[7:], *b[3:7]) for a, b in zip(own, own[1:])]
+    assert sorted(found, key=repr) == sorted(want, key=repr) and len(want) > 200
+
+
+def test_freshness_with_all_urls_in_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 1)
+    test_freshness_in_any_order_and_over_restarts(spark, tmp_path)
