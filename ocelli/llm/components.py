@@ -8,18 +8,49 @@ each round whatever the ids are, and rounds grow with the logarithm of the numbe
 of nodes.  Only grouped minima and joins whose large keys Spark can split are used,
 so a node with a third of all edges does not make a slow task.  Rounds are written
 to the shared folder; the moves of all rounds are composed from the last, smallest
-one backwards.
+one backwards.  What is left once there are at most ``FEW`` edges is contracted at
+once, in one task of a megabyte: rounds over so little cost the driver a dozen jobs
+each and end no sooner.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import freed, made, written
 
+#: Edges that one task contracts, at most, whatever the size of the graph.
+FEW = 1 << 16
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of the component of each of ``n`` items under the pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # The labels themselves move too, so what was joined before stays together.
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of all edges, and the smallest of its component."""
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    a, b = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[joined(len(node), at[: len(a)], at[len(a) :])])], ["node", "to"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges (a long, b long)``; the label is the smallest node of its component."""
@@ -28,7 +59,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(now, "cc-edges")
     moves: list[DataFrame] = []
     draw = random.Random(1)  # the same orders again when a round is run again
-    while not now.isEmpty():
+    while left := now.count():
+        if left <= FEW:
+            moves.append(written(now.select("a", "b").repartition(1).mapInArrow(_contracted, "node long, to long"), "cc-moves"))
+            break
         salt = F.lit(draw.getrandbits(62))
         order = lambda c: F.col(c).bitwiseXOR(salt)  # noqa: B023, E731
         both = now.select(order("b").alias("node"), order("a").alias("to")).union(now.select(order("a").alias("node"), order("b").alias("to")))
@@ -37,8 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
         two = one.join(hop, "to").select("node", F.col("next").alias("to"))
         step = written(two.join(hop, "to").select(order("node").alias("node"), order("next").alias("to")), "cc-moves")
         moves.append(step)
-        left = now.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
-        right = left.join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+        half = now.join(step.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
+        right = half.join(step.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
         after = written(right.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct(), "cc-edges")
         freed(spark, began, after, *moves)
         now = after

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .shared import freed, made, numbered, only, parts, written
 from .textops import BLANKS, blocks, buffers, canonical, mix64, shingle_sets, signed, words
 
@@ -123,20 +123,6 @@ def _planter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(label.tobytes())]), batch.column(0), batch.column(1)], ["tree", "label", "node", "sig"])
 
 
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of the component of each of ``n`` items under the pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _dense(label: np.ndarray, sig: np.ndarray, rows: np.ndarray, depth: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of alike signatures within a region, which goes deeper while it is too large."""
     if len(rows) > REGION and depth < LABEL:
@@ -214,7 +200,7 @@ def _grower(least: int, least_depth: int):
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if not len(a):
             return
-        comp = _joined(n, a, b)
+        comp = joined(n, a, b)
         rows = np.unique(np.concatenate((a, b)))
         rows = rows[np.argsort(comp[rows], kind="stable")]
         centre, member, block, blank = [], [], [], []
@@ -276,7 +262,7 @@ def _verifier(width: int, percent: int):
             common += x @ x.T
         union = size[:, None] + size[None, :] - common
         a, b = np.nonzero(np.triu(100 * common >= percent * union, 1))
-        comp = _joined(m, a, b)
+        comp = joined(m, a, b)
         low = np.full(m, np.iinfo(np.int64).max)
         np.minimum.at(low, comp, node)
         moved = low[comp] != node

@@ -50,3 +50,19 @@ def test_any_graph(spark, monkeypatch):
     got, rounds = run(spark, edges, monkeypatch)
     assert got == plain(edges) and rounds <= 10
     assert run(spark, [(3, 3)], monkeypatch) == ({}, 0)
+
+
+def test_a_small_rest_is_contracted_at_once(spark, monkeypatch):
+    """Below the limit no round is run and two tables are written; above it rounds go on until the rest is that small; the labels are the same."""
+    g = random.Random(8)
+    edges = [(g.randrange(-900, 900), g.randrange(-900, 900)) for _ in range(900)] + [(k + 1, k) for k in range(2000, 2300)] + [(5000, k) for k in range(5001, 5200)]
+    for few, least, most in ((1 << 16, 0, 0), (200, 1, 8), (0, 2, 15)):
+        monkeypatch.setattr(C, "FEW", few)
+        got, rounds = run(spark, edges, monkeypatch)
+        assert got == plain(edges) and least <= rounds <= most
+
+
+@pytest.mark.parametrize("order", ["sorted", "zigzag", "random"])
+def test_paths_take_few_rounds_without_that(spark, monkeypatch, order):
+    monkeypatch.setattr(C, "FEW", 0)
+    test_paths_take_few_rounds(spark, monkeypatch, order)
